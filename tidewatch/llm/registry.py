@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, exact, mixing, simhash, toxicity
+from . import decontaminate, exact, mixing, phrases, simhash, suffix, toxicity
 
 
 def queries():
     return {
+        "op2_phrase_dedup": phrases.query,
         "op3_exact_dedup": exact.query,
         "op4_simhash_neardup": simhash.query,
         "op7_source_mixing": mixing.query,
+        "op8_suffix_dedup": suffix.query,
         "op9_toxicity": toxicity.query,
         "op10_decontamination": decontaminate.query,
         "pipeline": corpus_pipeline.run,
