@@ -137,7 +137,7 @@ def _digests(batches):
         bounds = np.concatenate(([0], np.cumsum([len(p) for _, p in out])))
         one, two = (repeats.Hashes(t[raw], powers).of(bounds[:-1], bounds[1:]) for t in (TABLE, OTHER))
         o = np.array([x for x, _ in out], np.int32)
-        yield pa.RecordBatch.from_arrays([*(pa.array(cols[c][row]) for c in names[:4]), pa.array(cols["pos"][row] - o), pa.array(o), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=[*names, "o", "one", "two"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(cols[c][row]) for c in names[:4]), pa.array((cols["pos"][row] - o).astype(np.int64)), pa.array(o), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=[*names, "o", "one", "two"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:

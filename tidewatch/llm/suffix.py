@@ -143,9 +143,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     own = rows.filter("not many").select("key", "ctx", "n", "lead", "rest").mapInArrow(placed, "key long, ctx long, n long, lead binary, rest binary, bucket int")
     inner = own.repartition(buckets, "bucket").mapInArrow(_inner, "key long, ctx long, m0 long, m1 long")
     spans = rows.filter("many").select("key", "ctx", "n", "lead", "rest").mapInArrow(_across, "key long, ctx long, n long, o int, one long, two long")
-    twice = spans.groupBy("one", "two").agg(F.sum("n").alias("all")).filter("all > 1").select("one", "two")
+    twice = spans.groupBy("key", "o", "one", "two").agg(F.sum("n").alias("all")).filter("all > 1").select("key", "o", "one", "two")
     bit = lambda low: F.when((F.col("o") >= low) & (F.col("o") < low + 64), F.expr(f"shiftleft(1L, o - {low})")).otherwise(F.lit(0).cast("long"))
-    across = spans.join(twice, ["one", "two"], "left_semi").groupBy("key", "ctx").agg(F.bit_or(bit(0)).alias("m0"), F.bit_or(bit(64)).alias("m1"))
+    across = spans.join(twice, ["key", "o", "one", "two"], "left_semi").groupBy("key", "ctx").agg(F.bit_or(bit(0)).alias("m0"), F.bit_or(bit(64)).alias("m1"))
     marks = found.select("rid", "pos", "key", "ctx").join(inner.unionByName(across), ["key", "ctx"])
     return marks.groupBy("rid").agg(F.collect_list(F.struct("pos", "m0", "m1")).alias("marks"))
 
