@@ -19,6 +19,8 @@ input event_type: String
 input err: Int64
 input clk: Int64
 """
+#: Added before rounding on both sides, so that means of hundredths don't lie between two roundings.
+OFF_TIES = 3.3e-9
 #: The same columns in SQL.
 Q = """with raw as (select event_id, ts, user_id, event_type, value, cast(round(value * 100) as bigint) as v,
   case when event_type = 'error' then cast(round(value * 100) as bigint) end as err,
@@ -122,11 +124,11 @@ def _catalogue() -> dict[str, tuple]:
     add("if_else", _of_events("output o := if v > 1000 then 1 else 0", "o"), e("case when v > 1000 then 1 else 0 end as o"))
 
     def rounded(names):
-        return lambda df: df.select("event_id", *[F.round(n, 6).alias(n) for n in names])
+        return lambda df: df.select("event_id", *[F.round(F.col(n) + OFF_TIES, 6).alias(n) for n in names])
 
     names = ["a", "b", "c", "d", "f", "g", "h"]
     run = _of_events("import math\noutput a := sqrt(abs(value))\noutput b := sin(value)\noutput c := cos(value)\noutput d := arctan(value)\noutput f := abs(value)\noutput g := round(value, 1)\noutput h := value / 3.0", *names)
-    add("math_fn", lambda s, d: rounded(names)(run(s, d)), e("round(sqrt(abs(value)), 6) as a, round(sin(value), 6) as b, round(cos(value), 6) as c, round(atan(value), 6) as d, round(abs(value), 6) as f, round(round(value, 1), 6) as g, round(value / 3.0, 6) as h"))
+    add("math_fn", lambda s, d: rounded(names)(run(s, d)), e(", ".join(f"round({x} + {OFF_TIES}, 6) as {n}" for x, n in zip(["sqrt(abs(value))", "sin(value)", "cos(value)", "atan(value)", "abs(value)", "round(value, 1)", "value / 3.0"], names, strict=True))))
     add("min_max_fn", _of_events("output a := min(v, user_id)\noutput b := max(v, user_id)", "a", "b"), e("least(v, user_id) as a, greatest(v, user_id) as b"))
     add("regex_match", _of_events('import regex\noutput m := event_type.matches(regex: "^c")', "m"), e("regexp_matches(event_type, '^c') as m"))
     add("tuple_access", _of_events("output t := (user_id, (v, value))\noutput o := t.1.0 + t.0", "o"), e("v + user_id as o"))
@@ -166,7 +168,7 @@ def _catalogue() -> dict[str, tuple]:
     ):
         run1 = _of_ticks(f"output pair := (value, cast<Float64>(user_id))\noutput o @1h := {source}.aggregate(over: 6h, using: {using})", "o")
         keep = "" if using in ("var", "sd") else "having count(v) > 0"
-        add(name, lambda s, d, r=run1: r(s, d).select("t", F.round("o", 4).alias("o")), f"{over(f'round({sql}, 4)')} {keep}")
+        add(name, lambda s, d, r=run1: r(s, d).select("t", F.round(F.col("o") + OFF_TIES, 6).alias("o")), f"{over(f'round({sql} + {OFF_TIES}, 6)')} {keep}")
     pct = lambda p: f"case when n * {p} % 100 = 0 and n * {p} // 100 < n then (l[greatest(1, n * {p} // 100)] + l[least(n, greatest(1, n * {p} // 100) + 1)]) // 2 when n * {p} % 100 = 0 then l[n] else l[greatest(1, cast(ceil(n * {p} / 100.0) as bigint))] end"
     for name, using, p in (("win_med", "med", 50), ("win_pctl25", "pctl25", 25)):
         add(name, _of_ticks(f"output o @1h := v.aggregate(over: 6h, using: {using})", "o"), f"{TICKS} select t, {pct(p)} as o from (select t, list_sort(list(v)) as l, count(v) as n from tick join q on q.ts > t - interval 6 hour and q.ts <= t group by t)")
@@ -186,7 +188,7 @@ def _catalogue() -> dict[str, tuple]:
     add("disc_sum_10", _of_events("output o := v.aggregate(over_discrete: 10, using: sum)", "o"), e(f"cast(sum(v) {rows} as bigint) as o"))
     add("disc_stats", _of_events("output a := v.aggregate(over_discrete: 10, using: avg).defaults(to: 0)\noutput b := v.aggregate(over_discrete: 10, using: min).defaults(to: 0)\noutput c := v.aggregate(over_discrete: 10, using: max).defaults(to: 0)\noutput d := v.aggregate(over_discrete: 10, using: count)\noutput f := v.aggregate(over_discrete: 10, using: last).defaults(to: 0)", "a", "b", "c", "d", "f"), e(f"cast(sum(v) {rows} as bigint) // count(v) {rows} as a, min(v) {rows} as b, max(v) {rows} as c, count(v) {rows} as d, v as f"))
     run3 = _of_events("output o := value.aggregate(over_discrete: 10, using: var)\noutput p := value.aggregate(over_discrete: 10, using: sd)", "o", "p")
-    add("disc_var", lambda s, d: run3(s, d).select("event_id", F.round("o", 4).alias("o"), F.round("p", 4).alias("p")), e(f"round(var_pop(value) {rows}, 4) as o, round(stddev_pop(value) {rows}, 4) as p"))
+    add("disc_var", lambda s, d: run3(s, d).select("event_id", F.round(F.col("o") + OFF_TIES, 6).alias("o"), F.round(F.col("p") + OFF_TIES, 6).alias("p")), e(f"round(var_pop(value) {rows} + {OFF_TIES}, 6) as o, round(stddev_pop(value) {rows} + {OFF_TIES}, 6) as p"))
     add("disc_sparse", _of_events("output o @v := err.aggregate(over_discrete: 3, using: sum)", "o"), f"{Q}, r as (select rn, sum(err) over (order by rn rows between 2 preceding and current row) as s from q where err is not null) select event_id, cast(coalesce(last_value(s ignore nulls) over (order by q.rn), 0) as bigint) as o from q left join r on r.rn = q.rn")
     add("disc_med", _of_events("output o := v.aggregate(over_discrete: 5, using: med).defaults(to: 0)", "o"), f"{Q}, w as (select event_id, list_sort(list(v) over (order by rn rows between 4 preceding and current row)) as l, count(v) over (order by rn rows between 4 preceding and current row) as n from q) select event_id, {pct(50)} as o from w")
 
@@ -226,7 +228,7 @@ def _catalogue() -> dict[str, tuple]:
     flatest = latest.replace("hi, v from q", "hi, value as v from q")
     for name, using, sql in (("inst_var", "var", "coalesce(var_pop(s.v), 0)"), ("inst_sd", "sd", "coalesce(stddev_pop(s.v), 0)"), ("inst_median", "med", "quantile_cont(s.v, 0.5)")):
         run4 = _of_events(f"{ftyped}output o @v := b.aggregate(over_instances: all, using: {using})", "o")
-        add(name, lambda s, d, r=run4: r(s, d).select("event_id", F.round("o", 5).alias("o")), f"{flatest} select event_id, round({sql}, 5) as o from q join s on s.lo <= q.rn and q.rn < s.hi group by event_id")
+        add(name, lambda s, d, r=run4: r(s, d).select("event_id", F.round(F.col("o") + OFF_TIES, 6).alias("o")), f"{flatest} select event_id, round({sql} + {OFF_TIES}, 6) as o from q join s on s.lo <= q.rn and q.rn < s.hi group by event_id")
     add("inst_fresh_sum", _of_events(f"{b}output o @v := b.aggregate(over_instances: fresh, using: sum)", "o"), e("v as o"))
     add("inst_where", _of_events(f"{b}output o @v := b.aggregate(over_instances: all(where: (u) => u > 5), using: sum)", "o"), f"{feed} select event_id, cast(coalesce(sum(v - coalesce(old, 0)) filter (user_id > 5) over (order by rn), 0) as bigint) as o from f")
     add("inst_distinct_users", _of_events("output s(u) spawn with user_id eval when u == user_id with true\noutput o @v := s.aggregate(over_instances: all, using: count)", "o"), f"{feed} select event_id, count(*) filter (old is null) over (order by rn) as o from f")
