@@ -75,7 +75,7 @@ def live(text: str, stream: DataFrame, keys: list[str], timeout_ms: int | None =
     inputs = [s.name for s in parse(text).inputs]
 
     def step(key, parts, state):
-        machine = pickle.loads(state.get[0]) if state.exists else Machine(text)
+        machine = Machine.restore(text, pickle.loads(state.get[0])) if state.exists else Machine(text)
         out: list[tuple] = []
         if state.hasTimedOut:
             out += rows_of(machine.advance(machine.now + timeout_ms * 1_000_000))
@@ -83,7 +83,7 @@ def live(text: str, stream: DataFrame, keys: list[str], timeout_ms: int | None =
             events = pd.concat(list(parts)).sort_values(["__ts", "__seq"], kind="stable")
             for r in events.to_dict("records"):
                 out += rows_of(machine.event(int(r["__ts"]), {i: None if r[i] is None or r[i] is pd.NA or isinstance(r[i], float) and r[i] != r[i] else _plain(r[i].item() if hasattr(r[i], "item") else r[i]) for i in inputs}))
-        state.update((pickle.dumps(machine),))
+        state.update((pickle.dumps(machine.state()),))
         if timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=COLUMNS)
