@@ -37,10 +37,22 @@ def lowered(text):
     return F.translate(text, UPPER, LOWER)
 
 
+#: Bytes of a batch that Python is handed at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a Python worker holds, however long texts are: batches end at BATCH_BYTES."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(str(spark.conf.get(name, "-1")).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``rid``, ``doc_id``, ``body``): a row key that is unique even where ids repeat, the id, and the whole text as bytes (null: empty).
 
     ``rid`` follows the order of the scan; it is the same in every scan of the same files,
     so it joins branches of one plan. ``docs`` must be replayable, as a table scan is.
     """
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("body")).withColumn("rid", F.monotonically_increasing_id())

@@ -58,9 +58,9 @@ def symbols(bodies: list[bytes], powers, table=TABLE) -> tuple[np.ndarray, np.nd
     return values, np.searchsorted(start, bounds)
 
 
-def extract(body: bytes, places: np.ndarray) -> list[tuple[bytes, bytes]]:
-    words = body.split()
-    return [(b" ".join(words[max(0, p - SHAPE.window + 1) : p]), b" ".join(words[p : p + SPAN])) for p in places.tolist()]
+def extract(body: bytes, places: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    words, at = body.split(), places.tolist()
+    return [b" ".join(words[max(0, p - SHAPE.window + 1) : p]) for p in at], [b" ".join(words[p : p + SPAN]) for p in at]
 
 
 def spans_of(lead: bytes, rest: bytes) -> list[tuple[int, bytes]]:
@@ -154,21 +154,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     masks = located.unionByName(across).filter("mask <> 0")
     # an anchor that is not the first of its surroundings has an earlier occurrence of every span
     mine = stand.select("key", "ctx", F.col("rid").alias("first_rid"), F.col("pos").alias("first_pos"))
-    first_of = found.select("rid", "pos", "key", "ctx").join(mine, ["key", "ctx"])
+    first_of = found.select("rid", "pos", "key", "ctx").join(mine.hint("shuffle_hash"), ["key", "ctx"])
     same = (F.col("rid") == F.col("first_rid")) & (F.col("pos") == F.col("first_pos"))
-    marks = first_of.join(masks, ["key", "ctx"], "left").select("rid", "pos", F.when(same, F.coalesce("mask", F.lit(0).cast("long"))).otherwise(F.lit((1 << SHAPE.window) - 1).cast("long")).alias("mask"))
+    marks = first_of.join(masks.hint("shuffle_hash"), ["key", "ctx"], "left").select("rid", "pos", F.when(same, F.coalesce("mask", F.lit(0).cast("long"))).otherwise(F.lit((1 << SHAPE.window) - 1).cast("long")).alias("mask"))
     return marks.filter("mask <> 0").groupBy("rid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: rid, doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     source = common.keyed(docs, id_col, text_col)
-    joined = source.join(repeated_spans(source), "rid", "left")
+    both = repeats.joined(source, repeated_spans(source), "marks", "left")
 
     def run(batches):
         for batch in batches:
             sizes, removed, kept = [], [], []
-            for body, own in zip(batch.column("body").to_pylist(), batch.column("marks"), strict=True):
+            for body, own in zip((b.as_py() for b in batch.column("body")), batch.column("marks"), strict=True):
                 words, gone = body.split(), 0
                 sizes.append(len(words))
                 if own.is_valid:
@@ -181,7 +181,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(b" ".join(words))
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["rid", "doc_id", "n_words", "n_removed", "kept"])
 
-    return joined.select("rid", "doc_id", "body", "marks").mapInArrow(run, "rid long, doc_id long, n_words long, n_removed long, kept binary")
+    return both.mapInArrow(run, "rid long, doc_id long, n_words long, n_removed long, kept binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

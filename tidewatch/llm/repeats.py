@@ -28,7 +28,7 @@ from . import common
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 #: Bytes of text handled at once (a longer text is handled alone).
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -144,32 +144,52 @@ def candidates(docs: DataFrame, shape: Shape, symbols: Callable) -> DataFrame:
 
     anchors = docs.mapInArrow(run, "doc_id long, rid long, pos int, key long, ctx long")
     repeated = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    return common.cut(anchors.join(repeated, "key", "left_semi").select("doc_id", "rid", "pos", "key", "ctx"))
+    return common.cut(anchors.join(repeated.hint("shuffle_hash"), "key", "left_semi").select("doc_id", "rid", "pos", "key", "ctx"))
 
 
 def standing(found: DataFrame, hot: int) -> DataFrame:
-    """One row for all anchors of equal surroundings: key, ctx, n, the first of them as doc_id, rid, pos; and of its key: kinds of surroundings, ``many`` if these are more than ``hot``."""
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("doc_id"), "rid", "pos"))
+    """One row for all anchors of equal surroundings: key, ctx, n, the first of them as rid, pos; and of its key: kinds of surroundings, ``many`` if these are more than ``hot``."""
+    first = F.min(F.struct("doc_id", "rid", "pos"))  # null ids come first
     rows = found.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), first.alias("r"))
     kinds = found.groupBy("key").agg(F.approx_count_distinct("ctx", 0.02).alias("about"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
     kinds = kinds.select("key", (F.col("low") != F.col("high")).alias("differ"), (F.col("about") > hot).alias("many"))
-    return rows.join(kinds, "key").select("key", "ctx", "n", "r.doc_id", "r.rid", "r.pos", "differ", "many")
+    return rows.join(kinds.hint("shuffle_hash"), "key").select("key", "ctx", "n", "r.rid", "r.pos", "differ", "many")
 
 
-def surroundings(docs: DataFrame, rows: DataFrame, extract: Callable) -> DataFrame:
-    """``rows`` with ``lead`` and ``rest``: the symbols before the anchor and from it on. extract: (text, places) -> pairs of bytes."""
-    cols = ["key", "ctx", "n", "doc_id", "pos", "many"]
+def surroundings(docs: DataFrame, rows: DataFrame, extract: Callable, bucket: Callable | None = None) -> DataFrame:
+    """``rows`` with ``lead`` and ``rest``: the symbols before the anchor and from it on, and the ``bucket`` of ``rest``.
+
+    extract: (text, places) -> two lists of bytes. Texts are shuffled once for this and for
+    what ``joined`` does with the same documents.
+    """
+    cols = ["key", "ctx", "n", "pos", "many"]
     per_doc = rows.groupBy("rid").agg(F.collect_list(F.struct(*cols)).alias("rows"))  # as many as a text has anchors
-    joined = docs.select("rid", "body").join(per_doc, "rid")
+    kinds = {"key": pa.int64(), "ctx": pa.int64(), "n": pa.int64(), "pos": pa.int32(), "many": pa.bool_()}
 
     def run(batches):
         for batch in batches:
-            for rid, body, own in zip(batch.column("rid").to_pylist(), batch.column("body").to_pylist(), batch.column("rows"), strict=True):
-                flat = own.values
-                pairs = extract(body, flat.field("pos").to_numpy(zero_copy_only=False))
-                yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in cols), pa.array(np.full(len(flat), rid)), pa.array([x for x, _ in pairs], pa.binary()), pa.array([x for _, x in pairs], pa.binary())], names=[*cols, "rid", "lead", "rest"])
-
-    return joined.mapInArrow(run, "key long, ctx long, n long, doc_id long, pos int, many boolean, rid long, lead binary, rest binary")
+            if not batch.num_rows:
+                continue
+            own = batch.column("rows")
+            flat, counts = own.flatten(), np.diff(own.offsets.to_numpy())
+            places = flat.field("pos").to_numpy(zero_copy_only=False)
+            lead, rest, at = [], [], 0
+            for body, n in zip(batch.column("body"), counts.tolist(), strict=True):
+                a, b = extract(body.as_py(), places[at : at + n])
+                lead += a
+                rest += b
+                at += n
+            whose = pa.array(np.repeat(np.arange(len(counts)), counts))
+            placed = [0] * len(rest) if bucket is None else [bucket(x) for x in rest]
+            yield pa.RecordBatch.from_arrays([*(flat.field(c).cast(k) for c, k in kinds.items()), batch.column("rid").take(whose), batch.column("doc_id").fill_null(-(2**63)).take(whose), pa.array(lead, pa.binary()), pa.array(rest, pa.binary()), pa.array(placed, pa.int32())], names=[*cols, "rid", "doc_id", "lead", "rest", "bucket"])
+
+    schema = "key long, ctx long, n long, pos int, many boolean, rid long, doc_id long, lead binary, rest binary, bucket int"
+    return joined(docs, per_doc, "rows", "inner").mapInArrow(run, schema)
+
+
+def joined(docs: DataFrame, per_doc: DataFrame, column: str, how: str) -> DataFrame:
+    """Documents with what was found for each; the small side is hashed, so texts aren't sorted."""
+    return docs.select("rid", "doc_id", "body").join(per_doc.hint("shuffle_hash"), "rid", how).select("rid", "doc_id", "body", column)
 
 
 def covered(starts: np.ndarray, span: int, length: int) -> np.ndarray:

@@ -40,8 +40,9 @@ def symbols(bodies: list[bytes], powers) -> tuple[np.ndarray, np.ndarray]:
     return TABLE[np.frombuffer(b"".join(bodies), np.uint8)], bounds
 
 
-def extract(body: bytes, places: np.ndarray) -> list[tuple[bytes, bytes]]:
-    return [(body[max(0, p - SHAPE.window + 1) : p], body[p : p + SPAN]) for p in places.tolist()]
+def extract(body: bytes, places: np.ndarray) -> tuple[list[bytes], list[bytes]]:
+    at = places.tolist()
+    return [body[max(0, p - SHAPE.window + 1) : p] for p in at], [body[p : p + SPAN] for p in at]
 
 
 def multikey_order(chars: np.ndarray) -> np.ndarray:
@@ -77,20 +78,34 @@ def _sorted(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def shared_spans(lead: list[bytes], rest: list[bytes], n: np.ndarray) -> np.ndarray:
     """For rows of one bucket: bit o set if the span that starts o bytes before the anchor occurs twice; n counts each row."""
-    m, w = len(rest), SHAPE.window
+    w = SHAPE.window
     reach = np.array([len(x) for x in rest])
     back = np.array([len(x) for x in lead])
+    offsets = np.arange(w)[None]
+    valid = (back[:, None] >= offsets) & (reach[:, None] >= SPAN - offsets)
+    bits = valid & (n > 1)[:, None]  # equal surroundings, counted before
     forward, f_common = _sorted(padded(rest, SPAN))
-    backward, b_common = _sorted(padded([x[::-1] for x in lead], w))
-    bits = np.zeros((m, w), bool)
-    f_group, b_group = np.zeros(m, np.int64), np.zeros(m, np.int64)
-    for o in range(w):
-        f_group[forward] = np.cumsum(f_common < SPAN - o)
-        b_group[backward] = np.cumsum(b_common < o)
-        rows = np.flatnonzero((back >= o) & (reach >= SPAN - o))
-        both = f_group[rows] * (m + 1) + b_group[rows]
-        _, group = np.unique(both, return_inverse=True)
-        bits[rows, o] = np.bincount(group, weights=n[rows])[group] > 1 if len(rows) else False
+    # only suffixes with the same leading bytes as a neighbour can share more
+    group = np.cumsum(f_common < SHAPE.prefix)
+    alike = np.bincount(group)[group] > 1
+    rows = forward[alike]
+    if len(rows):
+        m, f_common = len(rows), f_common[alike]
+        f_common[0] = 0
+        f_group, b_group = np.arange(m), np.zeros(m, np.int64)
+        backward, b_common = _sorted(padded([lead[i][::-1] for i in rows], w))
+        weight, some = n[rows], valid[rows]
+        for o in range(w):
+            f_group = np.cumsum(f_common < SPAN - o)
+            b_group[backward] = np.cumsum(b_common < o)
+            take = np.flatnonzero(some[:, o])
+            both = f_group[take] * (m + 1) + b_group[take]
+            order = np.argsort(both, kind="stable")
+            starts = np.flatnonzero(np.concatenate(([True], both[order][1:] != both[order][:-1]))) if len(take) else order
+            if len(take):
+                total = np.add.reduceat(weight[take][order], starts)
+                size = np.diff(np.append(starts, len(take)))
+                bits[rows[take[order]], o] = np.repeat(total, size) > 1
     return np.packbits(bits, axis=1, bitorder="little").view(np.int64)
 
 
@@ -134,31 +149,29 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = splitters(docs, found, buckets)
 
-    def placed(batches):
-        for batch in batches:
-            at = [bisect_right(bounds, x[: SHAPE.prefix]) for x in batch.column("rest").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], names=[*batch.schema.names, "bucket"])
+    def bucket(rest: bytes) -> int:
+        return bisect_right(bounds, rest[: SHAPE.prefix])
 
-    rows = repeats.surroundings(docs, repeats.standing(found, HOT), extract)
-    own = rows.filter("not many").select("key", "ctx", "n", "lead", "rest").mapInArrow(placed, "key long, ctx long, n long, lead binary, rest binary, bucket int")
+    rows = repeats.surroundings(docs, repeats.standing(found, HOT), extract, bucket)
+    own = rows.filter("not many").select("key", "ctx", "n", "lead", "rest", "bucket")
     inner = own.repartition(buckets, "bucket").mapInArrow(_inner, "key long, ctx long, m0 long, m1 long")
     spans = rows.filter("many").select("key", "ctx", "n", "lead", "rest").mapInArrow(_across, "key long, ctx long, n long, o int, one long, two long")
     twice = spans.groupBy("key", "o", "one", "two").agg(F.sum("n").alias("all")).filter("all > 1").select("key", "o", "one", "two")
     bit = lambda low: F.when((F.col("o") >= low) & (F.col("o") < low + 64), F.expr(f"shiftleft(1L, o - {low})")).otherwise(F.lit(0).cast("long"))
     across = spans.join(twice, ["key", "o", "one", "two"], "left_semi").groupBy("key", "ctx").agg(F.bit_or(bit(0)).alias("m0"), F.bit_or(bit(64)).alias("m1"))
-    marks = found.select("rid", "pos", "key", "ctx").join(inner.unionByName(across), ["key", "ctx"])
+    marks = found.select("rid", "pos", "key", "ctx").join(inner.unionByName(across).hint("shuffle_hash"), ["key", "ctx"])
     return marks.groupBy("rid").agg(F.collect_list(F.struct("pos", "m0", "m1")).alias("marks"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: rid, doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
     source = common.keyed(docs, id_col, text_col)
-    joined = source.join(repeated_spans(source), "rid", "left")
+    both = repeats.joined(source, repeated_spans(source), "marks", "left")
 
     def run(batches):
         for batch in batches:
             sizes, removed, spans, kept = [], [], [], []
-            for body, own in zip(batch.column("body").to_pylist(), batch.column("marks"), strict=True):
+            for body, own in zip((b.as_py() for b in batch.column("body")), batch.column("marks"), strict=True):
                 gone, runs, left = 0, 0, body
                 if own.is_valid:
                     flat = own.values
@@ -172,7 +185,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(kept, pa.binary())], names=["rid", "doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return joined.select("rid", "doc_id", "body", "marks").mapInArrow(run, "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return both.mapInArrow(run, "rid long, doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
