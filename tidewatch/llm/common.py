@@ -44,7 +44,7 @@ BATCH_BYTES = 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds, however long texts are: batches end at BATCH_BYTES."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(str(spark.conf.get(name, "-1")).rstrip("b")) <= BATCH_BYTES:
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 

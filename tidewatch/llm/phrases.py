@@ -143,15 +143,11 @@ def _digests(batches):
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(rid, marks): per document the anchors with spans that occur earlier, as array of (pos, mask). docs: rid, doc_id, body."""
     found = repeats.candidates(docs, SHAPE, symbols)
-    stand = repeats.standing(found, HOT)
+    stand, any_many = repeats.standing(found, HOT)
     rows = repeats.surroundings(docs, stand.filter("differ"), extract)
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     located = rows.filter("not many").repartition(buckets, "key").mapInArrow(_shards, "key long, ctx long, mask long")
-    spans = rows.filter("many").select("key", "ctx", "doc_id", "rid", "pos", "lead", "rest").mapInArrow(_digests, "key long, ctx long, doc_id long, rid long, pos long, o int, one long, two long")
-    first = spans.groupBy("one", "two").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"))
-    late = spans.join(first, ["one", "two"]).filter(F.struct("doc_id", "rid", "pos") != F.col("first"))
-    across = late.groupBy("key", "ctx").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
-    masks = located.unionByName(across).filter("mask <> 0")
+    masks = (located.unionByName(_compared(rows)) if any_many else located).filter("mask <> 0")
     # an anchor that is not the first of its surroundings has an earlier occurrence of every span
     mine = stand.select("key", "ctx", F.col("rid").alias("first_rid"), F.col("pos").alias("first_pos"))
     first_of = found.select("rid", "pos", "key", "ctx").join(mine.hint("shuffle_hash"), ["key", "ctx"])
@@ -160,6 +156,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return marks.filter("mask <> 0").groupBy("rid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
 
 
+def _compared(rows: DataFrame) -> DataFrame:
+    """(key, ctx, mask) of passages that very many share an anchor's words with."""
+    spans = rows.filter("many").select("key", "ctx", "doc_id", "rid", "pos", "lead", "rest").mapInArrow(_digests, "key long, ctx long, doc_id long, rid long, pos long, o int, one long, two long")
+    first = spans.groupBy("one", "two").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"))
+    late = spans.join(first, ["one", "two"]).filter(F.struct("doc_id", "rid", "pos") != F.col("first"))
+    return late.groupBy("key", "ctx").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: rid, doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     source = common.keyed(docs, id_col, text_col)

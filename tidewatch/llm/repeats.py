@@ -147,13 +147,14 @@ def candidates(docs: DataFrame, shape: Shape, symbols: Callable) -> DataFrame:
     return common.cut(anchors.join(repeated.hint("shuffle_hash"), "key", "left_semi").select("doc_id", "rid", "pos", "key", "ctx"))
 
 
-def standing(found: DataFrame, hot: int) -> DataFrame:
-    """One row for all anchors of equal surroundings: key, ctx, n, the first of them as rid, pos; and of its key: kinds of surroundings, ``many`` if these are more than ``hot``."""
+def standing(found: DataFrame, hot: int) -> tuple[DataFrame, bool]:
+    """One row for all anchors of equal surroundings: key, ctx, n, the first of them as rid, pos; and of its key: whether surroundings ``differ``, ``many`` if there are more than ``hot`` kinds. Second: whether any key has so many."""
     first = F.min(F.struct("doc_id", "rid", "pos"))  # null ids come first
     rows = found.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), first.alias("r"))
     kinds = found.groupBy("key").agg(F.approx_count_distinct("ctx", 0.02).alias("about"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
-    kinds = kinds.select("key", (F.col("low") != F.col("high")).alias("differ"), (F.col("about") > hot).alias("many"))
-    return rows.join(kinds.hint("shuffle_hash"), "key").select("key", "ctx", "n", "r.rid", "r.pos", "differ", "many")
+    kinds = common.cut(kinds.select("key", (F.col("low") != F.col("high")).alias("differ"), (F.col("about") > hot).alias("many")))
+    rows = rows.join(kinds.hint("shuffle_hash"), "key").select("key", "ctx", "n", "r.rid", "r.pos", "differ", "many")
+    return rows, not kinds.filter("many").isEmpty()
 
 
 def surroundings(docs: DataFrame, rows: DataFrame, extract: Callable, bucket: Callable | None = None) -> DataFrame:

@@ -152,15 +152,21 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     def bucket(rest: bytes) -> int:
         return bisect_right(bounds, rest[: SHAPE.prefix])
 
-    rows = repeats.surroundings(docs, repeats.standing(found, HOT), extract, bucket)
+    stand, any_many = repeats.standing(found, HOT)
+    rows = repeats.surroundings(docs, stand, extract, bucket)
     own = rows.filter("not many").select("key", "ctx", "n", "lead", "rest", "bucket")
     inner = own.repartition(buckets, "bucket").mapInArrow(_inner, "key long, ctx long, m0 long, m1 long")
+    marked = inner.unionByName(_compared(rows)) if any_many else inner
+    marks = found.select("rid", "pos", "key", "ctx").join(marked.hint("shuffle_hash"), ["key", "ctx"])
+    return marks.groupBy("rid").agg(F.collect_list(F.struct("pos", "m0", "m1")).alias("marks"))
+
+
+def _compared(rows: DataFrame) -> DataFrame:
+    """(key, ctx, m0, m1) of suffixes that very many share their leading bytes with."""
     spans = rows.filter("many").select("key", "ctx", "n", "lead", "rest").mapInArrow(_across, "key long, ctx long, n long, o int, one long, two long")
     twice = spans.groupBy("key", "o", "one", "two").agg(F.sum("n").alias("all")).filter("all > 1").select("key", "o", "one", "two")
     bit = lambda low: F.when((F.col("o") >= low) & (F.col("o") < low + 64), F.expr(f"shiftleft(1L, o - {low})")).otherwise(F.lit(0).cast("long"))
-    across = spans.join(twice, ["key", "o", "one", "two"], "left_semi").groupBy("key", "ctx").agg(F.bit_or(bit(0)).alias("m0"), F.bit_or(bit(64)).alias("m1"))
-    marks = found.select("rid", "pos", "key", "ctx").join(inner.unionByName(across).hint("shuffle_hash"), ["key", "ctx"])
-    return marks.groupBy("rid").agg(F.collect_list(F.struct("pos", "m0", "m1")).alias("marks"))
+    return spans.join(twice, ["key", "o", "one", "two"], "left_semi").groupBy("key", "ctx").agg(F.bit_or(bit(0)).alias("m0"), F.bit_or(bit(64)).alias("m1"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
