@@ -165,12 +165,108 @@ def query(spark, sf_dir: str) -> DataFrame:
     return components(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: For similar texts: bits of the long SimHash, bits of a band by the number of documents, radius for its first 64 bits.
+LONG, BANDS, NEAR = 15, ((2**22, 20), (2**30, 24), (2**62, 32)), 16
+SEEDS = np.random.default_rng(31).integers(0, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Members of a shard of which all pairs within the radius are candidates; in larger shards each has its nearest and the shard's roots.
+SMALL = 64
+
+
+def long_bits(body: bytes) -> np.ndarray:
+    """SimHash of LONG * 64 bits over the distinct words of a text, as bytes."""
+    words = set(body.translate(FOLD).split())
+    if not words:
+        return np.zeros(LONG * 8, np.uint8)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in words), np.uint64, len(words))
+    ones = np.zeros(LONG * 64, np.int64)
+    for i in range(0, len(h), 255):
+        many = h[i : i + 255, None] * SEEDS[None]
+        many = (many ^ (many >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+        many ^= many >> np.uint64(29)
+        ones += np.unpackbits(many.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(h), bitorder="little")
+
+
+def candidate_pairs(members: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Pairs of rows (rid, fp) of a shard to compare, found in a BK-tree of their fingerprints."""
+    tree, rows, out = BKTree(NEAR), {}, []
+    for rid, x in members:
+        near = tree.near(x)
+        if len(members) > SMALL:  # one link suffices to join a group: the nearest ones, and the first member of each
+            near = sorted(near, key=lambda y: (x ^ y).bit_count())[:3] + near[:1]
+        out += [(rows[y][0], rid) for y in set(near)]
+        if x in rows and rows[x][0] != rid:
+            out.append((rows[x][-1], rid))
+        rows.setdefault(x, []).append(rid)
+        tree.add(x)
+    return [(a, b) for a, b in out if a != b]
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b), row ids of texts whose sets of ``width``-word shingles have at least this Jaccard similarity.
+
+    A pair of that similarity differs in few distinct words, hence in about a tenth of the
+    bits of a SimHash over words. Bands of a long one are the shards (under one in a
+    hundred such pairs shares no band); a BK-tree per shard finds candidates, and the
+    shingles decide.
+    """
+    source = common.keyed(docs, id_col, text_col)
+    n = source.count()
+    bits = next(b for most, b in BANDS if n <= most)
+
+    def sketch(batches):
+        for batch in batches:
+            rid, fp, keys = batch.column("rid").to_numpy(), [], []
+            for body in batch.column("body"):
+                raw = long_bits(body.as_py())
+                fp.append(int(raw[:8].view(np.int64)[0]))
+                flat = np.unpackbits(raw, bitorder="little")
+                bands = flat[: len(flat) // bits * bits].reshape(-1, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+                keys.append(bands + (np.arange(len(bands)) << 40))
+            count = len(keys[0]) if keys else 0
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(rid, count)), pa.array(np.repeat(np.array(fp, np.int64), count))], names=["key", "rid", "fp"])
+
+    shards = source.mapInArrow(sketch, "key long, rid long, fp long").filter("fp <> 0").repartition("key").sortWithinPartitions("key")
+
+    def pairs(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        t = pa.Table.from_batches(held)
+        key, rid, fp = (t.column(c).to_numpy() for c in ("key", "rid", "fp"))
+        bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        size = np.diff(bounds)
+        two = bounds[:-1][size == 2]  # most shards
+        apart = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= NEAR
+        out = list(zip(rid[two][apart].tolist(), rid[two + 1][apart].tolist(), strict=True))
+        for s, e in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist(), strict=True):
+            out += candidate_pairs(list(zip(rid[s:e].tolist(), (fp[s:e].view(np.uint64)).tolist(), strict=True)))
+        found = np.array(sorted({(min(p), max(p)) for p in out}), np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+    found = common.cut(shards.mapInArrow(pairs, "a long, b long").distinct())
+
+    def shingled(batches):
+        for batch in batches:
+            out = []
+            for body in batch.column("body"):
+                words = body.as_py().translate(FOLD).split()
+                out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + width]), 9) for k in range(max(1, len(words) - width + 1))), np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.list_(pa.int64()))], names=["rid", "shingles"])
+
+    who = found.select(F.col("a").alias("rid")).unionByName(found.select(F.col("b").alias("rid"))).distinct()
+    sets = common.cut(source.select("rid", "body").join(who.hint("shuffle_hash"), "rid", "left_semi").mapInArrow(shingled, "rid long, shingles array<long>"))
+    left, right = (sets.select(F.col("rid").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    return found.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+
+
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline: one document of each component stays (the one with the smallest id), with its columns.
+    """Pipeline: of each group of texts linked by a similarity of 0.8 or more one document stays (the first in the table), with its columns.
 
-    Shingles have five words here. A document of fewer than five words counts as one shingle.
+    Equal texts without words are left to exact dedup.
     """
     cols = docs.columns
-    rows = common.cut(fingerprints(docs, width=5))
-    gone = components(rows).filter(F.col("rid") != F.col("lead")).select(F.col("rid").alias("rid__"))
-    return docs.withColumn("rid__", F.monotonically_increasing_id()).join(gone, "rid__", "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    groups = graph.components(similar(docs))
+    gone = groups.filter(F.col("node") != F.col("root")).select(F.col("node").alias("rid__"))
+    return docs.withColumn("rid__", F.monotonically_increasing_id()).join(gone.hint("shuffle_hash"), "rid__", "left_anti").select(*[F.col(f"`{c}`") for c in cols])
