@@ -74,11 +74,13 @@ class Trace:
             back = Window.partitionBy(SLICE, fresh).orderBy(*[F.desc(c) for c in self.order])
             ranked = self.df.filter(fresh).withColumn("__r", F.row_number().over(back)).filter(F.col("__r") <= n)
             per = ranked.groupBy(SLICE).agg(F.transform(F.sort_array(F.collect_list(F.struct(*self.order, x.alias("v")))), lambda s: s["v"]).alias("own"))
-            per = self.df.select(SLICE).distinct().join(per, SLICE, "left")
+            # a slice with values has one at least, so the last n of them hold all that is taken over
+            whole = F.flatten(F.collect_list("own").over(Window.orderBy(SLICE).rowsBetween(-(n - 1), 0)))
+            after = per.select(SLICE, F.slice(whole, F.greatest(F.lit(1), F.size(whole) - n + 1), F.lit(n)).alias("after"))
+            every = self.df.select(SLICE).distinct().join(after, SLICE, "left")
             self.n += 1
             name = f"__t{self.n}_{len(self.df.columns)}"
-            whole = F.flatten(F.collect_list("own").over(Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)))
-            per = per.select(SLICE, F.slice(whole, F.greatest(F.lit(1), F.size(whole) - n + 1), F.lit(n)).alias(name))
+            per = every.select(SLICE, F.last("after", ignorenulls=True).over(Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)).alias(name))
             self.df = self.df.join(F.broadcast(per), SLICE, "left")
             tail = F.col(name)
         local = F.collect_list(x).over(self.window(fresh).rowsBetween(-(n - 1), 0))
