@@ -44,6 +44,11 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inputs(raw, _micros(F.col("ts")) - _micros(F.lit(start)))
 
 
+def untimed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` for specifications without deadlines, where time is an order only."""
+    return _inputs(spark.read.parquet(f"{sf_dir}/events.parquet"), _micros(F.col("ts")))
+
+
 def _micros(ts):
     return F.unix_micros(ts.cast("timestamp"))
 
@@ -66,7 +71,7 @@ def _of_events(spec: str, *names: str):
     """The named event streams by event_id, all cycles in which one of them has a value."""
 
     def run(spark, sf_dir):
-        plan = compile_spec(INPUTS + spec, events(spark, sf_dir))
+        plan = compile_spec(INPUTS + spec, untimed(spark, sf_dir))
         return plan.table(*names).select(F.col("seq").alias("event_id"), *names)
 
     return run
@@ -88,9 +93,10 @@ def _keyed(spec: str, name: str, ticks: bool = False):
     """A parameterised stream, by event_id or time and parameters."""
 
     def run(spark, sf_dir):
-        start = origin(spark, sf_dir)
+        start = origin(spark, sf_dir) if ticks else None
         raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-        plan = compile_spec(INPUTS + spec, _inputs(raw, _micros(F.col("ts")) - _micros(F.lit(start))))
+        rows = _inputs(raw, _micros(F.col("ts")) - _micros(F.lit(start))) if ticks else untimed(spark, sf_dir)
+        plan = compile_spec(INPUTS + spec, rows)
         keys = plan.keyed[name].keys
         df = plan.stream(name)
         return _time(df, start).select("t", *keys, "value") if ticks else df.select(F.col("seq").alias("event_id"), *keys, "value")
@@ -149,8 +155,8 @@ def _catalogue() -> dict[str, tuple]:
     add("running_bool", _of_events("output x := x[-1].defaults(to: true) && v < 40000\noutput y := y[-1].defaults(to: false) || v > 40000", "x", "y"), e("bool_and(v < 40000) over (order by rn) as x, bool_or(v > 40000) over (order by rn) as y"))
     add("reset_counter", _of_events('output x := if event_type == "signup" then 0 else x[-1].defaults(to: 0) + v', "x"), f"{Q}, s as (select *, count(*) filter (event_type = 'signup') over (order by rn) as seg from q) select event_id, cast(sum(case when event_type = 'signup' then 0 else v end) over (partition by seg order by rn) as bigint) as x from s")
     add("toggle", _of_events("output x @v := !x[-1].defaults(to: false)", "x"), e("rn % 2 = 1 as x"))
-    add("format_msg", lambda s, d: compile_spec(INPUTS + 'trigger eval when v > 10000 with "user {} did {} at {}".format(user_id, event_type, value)', events(s, d)).triggers().select(F.col("seq").alias("event_id"), "message"), f"{Q} select event_id, 'user ' || user_id || ' did ' || event_type || ' at ' || case when value = floor(value) then cast(cast(value as bigint) as varchar) else cast(value as varchar) end as message from q where v > 10000")
-    add("trigger_union", lambda s, d: compile_spec(INPUTS + 'trigger v > 10000 "big"\ntrigger event_type == "error" "error"\ntrigger v < 100 && user_id > 3 "small"', events(s, d)).triggers().select(F.col("seq").alias("event_id"), "trigger", "message"), f"{Q} select event_id, 0 as trigger, 'big' as message from q where v > 10000 union all select event_id, 1, 'error' from q where event_type = 'error' union all select event_id, 2, 'small' from q where v < 100 and user_id > 3")
+    add("format_msg", lambda s, d: compile_spec(INPUTS + 'trigger eval when v > 10000 with "user {} did {} at {}".format(user_id, event_type, value)', untimed(s, d)).triggers().select(F.col("seq").alias("event_id"), "message"), f"{Q} select event_id, 'user ' || user_id || ' did ' || event_type || ' at ' || case when value = floor(value) then cast(cast(value as bigint) as varchar) else cast(value as varchar) end as message from q where v > 10000")
+    add("trigger_union", lambda s, d: compile_spec(INPUTS + 'trigger v > 10000 "big"\ntrigger event_type == "error" "error"\ntrigger v < 100 && user_id > 3 "small"', untimed(s, d)).triggers().select(F.col("seq").alias("event_id"), "trigger", "message"), f"{Q} select event_id, 0 as trigger, 'big' as message from q where v > 10000 union all select event_id, 1, 'error' from q where event_type = 'error' union all select event_id, 2, 'small' from q where v < 100 and user_id > 3")
 
     # periodic streams
     add("tick_hold_1h", _of_ticks("output o @1h := v.hold(or: 0)", "o"), f"{TICKS} select t, coalesce((select arg_max(v, rn) from q e where e.ts <= tick.t), 0) as o from tick")
@@ -234,7 +240,7 @@ def _catalogue() -> dict[str, tuple]:
     add("inst_distinct_users", _of_events("output s(u) spawn with user_id eval when u == user_id with true\noutput o @v := s.aggregate(over_instances: all, using: count)", "o"), f"{feed} select event_id, count(*) filter (old is null) over (order by rn) as o from f")
 
     # representations
-    add("changes_feed", lambda s, d: compile_spec(INPUTS + "output b(u) spawn with user_id eval when u == user_id with v\noutput big eval when v > 10000 with v", events(s, d)).changes().select(F.col("seq").alias("event_id"), "stream", "change", "params", "value"), f"""{Q}, f as (select *, row_number() over (partition by user_id order by rn) as k from q)
+    add("changes_feed", lambda s, d: compile_spec(INPUTS + "output b(u) spawn with user_id eval when u == user_id with v\noutput big eval when v > 10000 with v", untimed(s, d)).changes().select(F.col("seq").alias("event_id"), "stream", "change", "params", "value"), f"""{Q}, f as (select *, row_number() over (partition by user_id order by rn) as k from q)
         select event_id, 'b' as stream, 'Value' as change, user_id::varchar as params, v::varchar as value from f union all select event_id, 'b', 'Spawn', user_id::varchar, null from f where k = 1 union all select event_id, 'big', 'Value', null, v::varchar from f where v > 10000""")
     add("flagship_busy_types", flagship, f"{TICKS}, s as (select event_type as e, min(ts) as born from q group by event_type) select * from (select t, e, count(v) as value from tick join s on born <= t left join q on q.event_type = e and q.ts > t - interval 24 hour and q.ts <= t group by t, e) where value > 5")
     return c

@@ -112,10 +112,10 @@ class Compiler:
         if ordered:
             low, high, n = rows.agg(F.min(TS), F.max(TS), F.count(F.lit(1))).first()
             high = max(high or 0, self.end or 0)
-            self.end = high
+            self.low, self.end = low or 0, high
             if periods:
                 rows = self._with_ticks(rows, periods, high)
-            rows, sliced = slices(rows, TS, min(low or 0, 0), high, n, slice_rows) if slice_rows else slices(rows, TS, min(low or 0, 0), high, n)
+            rows, sliced = slices(rows, TS, low or 0, high, n, *([slice_rows] if slice_rows else []))
         else:
             sliced = False
             rows = rows.withColumn(SLICE, F.lit(0))
@@ -606,9 +606,9 @@ class Env:
 
     def _validity(self, feed: DataFrame, k: Keyed, name: str, kind, out: str) -> Column:
         """For what can't be taken back: every value holds from its cycle to the instance's next; values that hold at an evaluation, by pages of time."""
-        page = max(1, (self.c.end + 1) // 256)
+        page = max(1, (self.c.end - self.c.low + 1) // 256)
         spans = self._paged(feed.withColumn("__next", F.lead(F.struct(*ORDER)).over(Window.partitionBy(*k.keys).orderBy(*ORDER))), page)
-        cycles = self.trace.df.select(*ORDER).withColumn("__page", F.call_function("div", F.col(TS), F.lit(page))).withColumn("__now", F.struct(*ORDER))
+        cycles = self.trace.df.select(*ORDER).withColumn("__page", self._page(F.col(TS), page)).withColumn("__now", F.struct(*ORDER))
         hits = cycles.join(spans, "__page").filter((F.col("__from") <= F.col("__now")) & (F.col("__next").isNull() | (F.col("__now") < F.col("__next"))))
         if name.startswith("pctl"):
             value = F.percentile("value", int(name[4:]) / 100)
@@ -618,9 +618,12 @@ class Env:
         self.trace.df = self.trace.df.join(agg, ORDER, "left")
         return aggregates.when_empty(name, F.col(out), kind)
 
+    def _page(self, ts: Column, page: int) -> Column:
+        return F.call_function("div", ts - F.lit(self.c.low), F.lit(page))
+
     def _paged(self, spans: DataFrame, page: int) -> DataFrame:
-        first = F.call_function("div", F.col(TS), F.lit(page))
-        last = F.call_function("div", F.coalesce(F.col(f"__next.{TS}"), F.lit(self.c.end)), F.lit(page))
+        first = self._page(F.col(TS), page)
+        last = self._page(F.coalesce(F.col(f"__next.{TS}"), F.lit(self.c.end)), page)
         return spans.select(F.struct(*ORDER).alias("__from"), "__next", "value", F.explode(F.sequence(first, last)).alias("__page"))
 
 
