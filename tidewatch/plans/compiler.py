@@ -29,12 +29,14 @@ class NotRelational(SpecError):
 
 @dataclass
 class Keyed:
-    """Values of a parameterised stream: order columns, parameters, ``life``, ``value``; and its instances."""
+    """Values of a parameterised stream: order columns, parameters, ``life``, ``value``; when instances are born and end."""
 
     df: DataFrame
     keys: list[str]
     closes: str | None = None  # column of the cycle table: how many closes came before
     every: int | None = None  # instances close at this many values
+    births: DataFrame | None = None
+    ends: DataFrame | None = None
 
 
 @dataclass
@@ -78,9 +80,11 @@ class Plan:
             if s.name in self.keyed:
                 k = self.keyed[s.name]
                 params = F.concat_ws(", ", *[F.col(p).cast("string") for p in k.keys])
-                rows = k.df.select(F.col(TS).alias("ts"), F.col(KIND).alias("kind"), F.col(SEQ).alias("seq"), params.alias("params"), F.col("first"), show.alias("value"))
-                parts.append(rows.select("ts", "kind", "seq", F.lit(s.name).alias("stream"), F.lit("Value").alias("change"), "params", "value"))
-                parts.append(rows.filter("first").select("ts", "kind", "seq", F.lit(s.name).alias("stream"), F.lit("Spawn").alias("change"), "params", F.lit(None).cast("string").alias("value")))
+                when = [F.col(TS).alias("ts"), F.col(KIND).alias("kind"), F.col(SEQ).alias("seq"), F.lit(s.name).alias("stream")]
+                parts.append(k.df.select(*when, F.lit("Value").alias("change"), params.alias("params"), show.alias("value")))
+                for change, rows in (("Spawn", k.births), ("Close", k.ends)):
+                    if rows is not None:
+                        parts.append(rows.select(*when, F.lit(change).alias("change"), params.alias("params"), F.lit(None).cast("string").alias("value")))
             else:
                 parts.append(self.stream(s.name).select("ts", "kind", "seq", F.lit(s.name).alias("stream"), F.lit("Value").alias("change"), F.lit(None).cast("string").alias("params"), show.alias("value")))
         out = parts[0]
@@ -255,8 +259,16 @@ class Compiler:
             v = F.when(is_on, inner.col(value))
         v = rows._new(v)
         kept = rows.df.filter(v.isNotNull()).withColumn("value", v)
-        out = kept.select(*ORDER, SLICE, *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col("__life").alias("life"), "value").withColumn("first", F.row_number().over(Window.partitionBy(*names, "life").orderBy(*ORDER)) == 1)
-        self.keyed[s.name] = Keyed(out, names, None if closes is None else closes._jc.toString(), every)
+        named = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
+        out = kept.select(*ORDER, SLICE, *named, F.col("__life").alias("life"), "value")
+        births = rows.df.groupBy(*keys, "__life").agg(F.min(F.struct(*ORDER)).alias("b")).select("b.*", *named, F.col("__life").alias("life"))
+        ends = None
+        if every is not None:
+            ends = out.filter(F.col("value") == every).select(*ORDER, *names)
+        elif closes is not None:  # the n-th close ends what was born after the one before it
+            marks = self.trace.df.filter(done.isNotNull()).select(*ORDER, total.alias("__n"))
+            ends = births.select(*names, "life").join(marks, F.col("life") + 1 == F.col("__n")).select(*ORDER, *names)
+        self.keyed[s.name] = Keyed(out, names, None if closes is None else closes._jc.toString(), every, births, ends)
 
     def _own_key(self, when: E | None, names: list[str], given) -> list[E] | None:
         """The filter without ``p == k`` for every parameter; None if some parameter has no such part."""
@@ -338,8 +350,8 @@ class Compiler:
         if w is not inner:
             value = F.coalesce(value, F.lit(w.arg("to").value))
         out = out.select(F.col(TS), F.lit(1).alias(KIND), F.col(TS).alias(SEQ), F.lit(0).alias(SLICE), *names, F.lit(0).alias("life"), value.alias("value")).filter(F.col("value").isNotNull())
-        out = out.withColumn("first", F.row_number().over(Window.partitionBy(*names).orderBy(TS)) == 1)
-        self.keyed[s.name] = Keyed(out, names)
+        births = born.select("born.*", *names)
+        self.keyed[s.name] = Keyed(out, names, births=births)
 
 
 class Env:
