@@ -318,3 +318,12 @@ def test_shapes_cover_every_span():
         at = dict(zip(pos.tolist(), key.tolist(), strict=True))
         assert all(any(s + o in at for o in range(shape.window)) for s in range(3000 - shape.span + 1))
         assert any(at.get(100 + o) is not None and at.get(100 + o) == at.get(2000 + o) for o in range(shape.window))
+
+
+def test_large_groups_of_near_copies():
+    """Copies of one text all meet it, in work proportional to their number."""
+    r = random.Random(9)
+    base = r.getrandbits(64)
+    members = [(0, base)] + [(k, base ^ sum(1 << b for b in r.sample(range(64), 5))) for k in range(1, 2000)] + [(5000 + k, r.getrandbits(64)) for k in range(50)]
+    pairs = simhash.candidate_pairs(members)
+    assert {p for p in pairs if 0 in p} >= {(0, k) for k in range(1, 2000)} and len(pairs) < 4 * len(members)

@@ -168,7 +168,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 #: For similar texts: bits of the long SimHash, bits of a band by the number of documents, radius for its first 64 bits.
 LONG, BANDS, NEAR = 15, ((2**22, 20), (2**30, 24), (2**62, 32)), 16
 SEEDS = np.random.default_rng(31).integers(0, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Members of a shard of which all pairs within the radius are candidates; in larger shards each has its nearest and the shard's roots.
+#: Members of a shard of which all pairs within the radius are candidates; in larger shards each is compared with a few.
 SMALL = 64
 
 
@@ -189,16 +189,41 @@ def long_bits(body: bytes) -> np.ndarray:
 
 def candidate_pairs(members: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Pairs of rows (rid, fp) of a shard to compare, found in a BK-tree of their fingerprints."""
+    if len(members) > SMALL:
+        return _dense_pairs(members)
     tree, rows, out = BKTree(NEAR), {}, []
     for rid, x in members:
-        near = tree.near(x)
-        if len(members) > SMALL:  # one link suffices to join a group: the nearest ones, and the first member of each
-            near = sorted(near, key=lambda y: (x ^ y).bit_count())[:3] + near[:1]
-        out += [(rows[y][0], rid) for y in set(near)]
-        if x in rows and rows[x][0] != rid:
-            out.append((rows[x][-1], rid))
+        out += [(other, rid) for y in tree.near(x) for other in rows[y]]
         rows.setdefault(x, []).append(rid)
         tree.add(x)
+    return out
+
+
+def _dense_pairs(members: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """As candidate_pairs, with work in proportion to the members.
+
+    Only members that are far from all before them enter the tree; the others gather around
+    the one they are nearest to. One link suffices to join a group, so each member is
+    compared with the first of its gathering, with the middle one (the nearest to the
+    majority of its bits: what the others are copies of), and with its neighbour in order
+    of fingerprints.
+    """
+    tree, around = BKTree(NEAR), {}
+    for rid, x in members:
+        near = tree.near(x)
+        to = min(near, key=lambda y: (x ^ y).bit_count()) if near else x
+        if not near:
+            tree.add(x)
+        around.setdefault(to, []).append((x, rid))
+    out = []
+    for some in around.values():
+        fps = np.array([x for x, _ in some], np.uint64)
+        ones = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        middle = np.packbits(2 * ones > len(fps), bitorder="little").view(np.uint64)[0]
+        center = some[int(np.argmin(np.bitwise_count(fps ^ middle)))][1]
+        order = sorted(some)
+        out += [(some[0][1], rid) for _, rid in some[1:]] + [(center, rid) for _, rid in some if rid != center]
+        out += [(a[1], b[1]) for a, b in zip(order, order[1:], strict=False)]
     return [(a, b) for a, b in out if a != b]
 
 
