@@ -143,7 +143,8 @@ def candidates(docs: DataFrame, shape: Shape, symbols: Callable) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + i)), pa.array(rid[doc + i]), pa.array(pos.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64))], names=["doc_id", "rid", "pos", "key", "ctx"])
 
     anchors = docs.mapInArrow(run, "doc_id long, rid long, pos int, key long, ctx long")
-    repeated = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    # written first, so that the join below reads it by an exchange of its own and very frequent keys can be split
+    repeated = common.cut(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
     return common.cut(anchors.join(repeated.hint("shuffle_hash"), "key", "left_semi").select("doc_id", "rid", "pos", "key", "ctx"))
 
 

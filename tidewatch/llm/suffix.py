@@ -145,7 +145,7 @@ def splitters(docs: DataFrame, found: DataFrame, buckets: int) -> list[bytes]:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """(rid, marks): per document the anchors with repeated spans, as array of (pos, m0, m1). docs: rid, doc_id, body."""
-    found = repeats.candidates(docs, SHAPE, symbols)
+    found = repeats.candidates(docs.withColumn("doc_id", F.lit(None).cast("long")), SHAPE, symbols)  # ids don't matter here
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     bounds = splitters(docs, found, buckets)
 
