@@ -327,3 +327,26 @@ def test_large_groups_of_near_copies():
     members = [(0, base)] + [(k, base ^ sum(1 << b for b in r.sample(range(64), 5))) for k in range(1, 2000)] + [(5000 + k, r.getrandbits(64)) for k in range(50)]
     pairs = simhash.candidate_pairs(members)
     assert {p for p in pairs if 0 in p} >= {(0, k) for k in range(1, 2000)} and len(pairs) < 4 * len(members)
+
+
+def test_similar_pairs_in_a_hot_template(spark):
+    """Pages of one template resemble each other below 0.8, but some pairs of them are near copies."""
+    r = random.Random(8)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    template, pages, texts = [word() for _ in range(172)], 1000, []
+    for _ in range(pages):
+        own = set(r.sample(range(172), 6))
+        texts.append([word() if k in own else w for k, w in enumerate(template)])
+    for k in range(40):
+        at = r.randint(0, 158)
+        texts.append([word() if at <= j < at + 14 else w for j, w in enumerate(texts[k])])
+    texts = [" ".join(t) for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    want = {frozenset((k, pages + k)) for k in range(40) if len(sets[k] & sets[pages + k]) >= 0.8 * len(sets[k] | sets[pages + k])}
+    assert len(want) > 30
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    ids = {r.rid: r.doc_id for r in df.select("doc_id").withColumn("rid", F.monotonically_increasing_id()).collect()}
+    shards = {}
+    for row in simhash.keys(simhash.common.keyed(df), 0.8, 5).collect():
+        shards.setdefault(ids[row.rid], set()).add(row.key)
+    assert {frozenset((ids[r.a], ids[r.b])) for r in simhash.similar(df).collect()} == {p for p in want if set.intersection(*(shards[k] for k in p))}

@@ -18,6 +18,7 @@ are ignored.
 
 from __future__ import annotations
 
+import zlib
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -165,11 +166,31 @@ def query(spark, sf_dir: str) -> DataFrame:
     return components(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similar texts: bits of the long SimHash, bits of a band by the number of documents, radius for its first 64 bits.
-LONG, BANDS, NEAR = 15, ((2**22, 20), (2**30, 24), (2**62, 32)), 16
+#: For similar texts: words of the long SimHash, bits of a band by the number of documents.
+LONG, BANDS = 15, ((2**22, 20), (2**30, 24), (2**62, 32))
 SEEDS = np.random.default_rng(31).integers(0, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Members of a shard of which all pairs within the radius are candidates; in larger shards each is compared with a few.
-SMALL = 64
+#: Bytes of a parity bitmap of shingles.
+PARITY = 256
+ODD = np.random.default_rng(37).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingles(body: bytes, width: int) -> np.ndarray:
+    """Sorted distinct hashes of the runs of ``width`` words (of all words if there are fewer)."""
+    words = body.translate(FOLD).split()
+    if len(words) <= width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), 9)][: len(words)], np.uint64)
+    h = np.fromiter((xxhash.xxh64_intdigest(w, 9) for w in words), np.uint64, len(words))
+    n = len(words) - width + 1
+    out = np.zeros(n, np.uint64)
+    for k in range(width):
+        out = (out ^ (out >> np.uint64(29))) * ODD[k % len(ODD)] + h[k : k + n]
+    return np.unique((out ^ (out >> np.uint64(32))) * ODD[0])
+
+
+def parity(h: np.ndarray) -> bytes:
+    """Bits of how many hashes fall on each, modulo 2; the bitmaps of two sets differ in no more bits than the sets in members."""
+    count = np.bincount((h >> np.uint64(40)).astype(np.int64) % (8 * PARITY), minlength=8 * PARITY)
+    return np.packbits((count & 1).astype(np.uint8)).tobytes()
 
 
 def long_bits(body: bytes) -> np.ndarray:
@@ -188,102 +209,150 @@ def long_bits(body: bytes) -> np.ndarray:
 
 
 def candidate_pairs(members: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs of rows (rid, fp) of a shard to compare, found in a BK-tree of their fingerprints."""
-    if len(members) > SMALL:
-        return _dense_pairs(members)
-    tree, rows, out = BKTree(NEAR), {}, []
-    for rid, x in members:
-        out += [(other, rid) for y in tree.near(x) for other in rows[y]]
-        rows.setdefault(x, []).append(rid)
-        tree.add(x)
-    return out
+    """Pairs of rows of a shard that are compared first: each with the smallest, which the shards of a group tend to have in common."""
+    hub = min(members)[0]
+    return [(hub, row) for row, _ in members if row != hub]
 
 
-def _dense_pairs(members: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """As candidate_pairs, with work in proportion to the members.
+def possible(n_a, room_a, n_b, room_b, similarity: float):
+    """Whether sets of so many members, of which so many are left from the first common one on, can be that similar."""
+    return np.minimum(room_a, room_b) >= similarity / (1 + similarity) * (n_a + n_b) - 1e-6
 
-    Only members that are far from all before them enter the tree; the others gather around
-    the one they are nearest to. One link suffices to join a group, so each member is
-    compared with the first of its gathering, with the middle one (the nearest to the
-    majority of its bits: what the others are copies of), and with its neighbour in order
-    of fingerprints.
-    """
-    tree, around = BKTree(NEAR), {}
-    for rid, x in members:
-        near = tree.near(x)
-        to = min(near, key=lambda y: (x ^ y).bit_count()) if near else x
-        if not near:
-            tree.add(x)
-        around.setdefault(to, []).append((x, rid))
-    out = []
-    for some in around.values():
-        fps = np.array([x for x, _ in some], np.uint64)
-        ones = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        middle = np.packbits(2 * ones > len(fps), bitorder="little").view(np.uint64)[0]
-        center = some[int(np.argmin(np.bitwise_count(fps ^ middle)))][1]
-        order = sorted(some)
-        out += [(some[0][1], rid) for _, rid in some[1:]] + [(center, rid) for _, rid in some if rid != center]
-        out += [(a[1], b[1]) for a, b in zip(order, order[1:], strict=False)]
-    return [(a, b) for a, b in out if a != b]
 
+def other_pairs(rid, n, room, root, bits, similarity: float) -> list[tuple[int, int]]:
+    """All pairs of rows of a shard but those that have one ``root`` and those that sizes or bitmaps (a row of words each) rule out."""
+    order, out = np.argsort(n, kind="stable"), []
+    rid, n, room, root, bits = rid[order], n[order].astype(np.int64), room[order], root[order], bits[order]
+    for i, e in enumerate(np.searchsorted(n, n / similarity + 1e-6, "right").tolist()):
+        at = i + 1 + np.flatnonzero((root[i + 1 : e] != root[i]) & possible(n[i], room[i], n[i + 1 : e], room[i + 1 : e], similarity))
+        differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
+        at = at[differ <= (1 - similarity) / (1 + similarity) * (n[i] + n[at]) + 1e-6]
+        out += [(int(rid[i]), r) for r in rid[at].tolist()]
+    return out
 
-def similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Links (a, b), row ids of texts whose sets of ``width``-word shingles have at least this Jaccard similarity.
 
-    A pair of that similarity differs in few distinct words, hence in about a tenth of the
-    bits of a SimHash over words. Bands of a long one are the shards (under one in a
-    hundred such pairs shares no band); a BK-tree per shard finds candidates, and the
-    shingles decide.
-    """
-    source = common.keyed(docs, id_col, text_col)
-    n = source.count()
-    bits = next(b for most, b in BANDS if n <= most)
+def _whole_shards(batches):
+    """Tables of whole shards and the bounds of these, from batches sorted by ``key``; held are a batch and a shard."""
+    bounds = lambda key: np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column("key").to_numpy()
+        last = int(np.searchsorted(key, key[-1]))
+        if kept and key[-1] == kept[-1].column("key")[0].as_py():
+            kept.append(batch)
+            continue
+        t = pa.Table.from_batches([*kept, batch.slice(0, last)]).combine_chunks()
+        if t.num_rows:
+            yield t, bounds(t.column("key").to_numpy())
+        kept = [batch.slice(last)]
+    if kept:
+        t = pa.Table.from_batches(kept).combine_chunks()
+        yield t, bounds(t.column("key").to_numpy())
+
+
+def keys(source: DataFrame, similarity: float, width: int) -> DataFrame:
+    """(key, rid, n, room): the shards of a text, its number of shingles, and how many of them texts that meet in the shard can share."""
+    n_docs = source.count()
+    bits = next(b for most, b in BANDS if n_docs <= most)
 
-    def sketch(batches):
+    def run(batches):
         for batch in batches:
-            rid, fp, keys = batch.column("rid").to_numpy(), [], []
+            out, sizes = [np.zeros(0, np.int64)], []
             for body in batch.column("body"):
-                raw = long_bits(body.as_py())
-                fp.append(int(raw[:8].view(np.int64)[0]))
-                flat = np.unpackbits(raw, bitorder="little")
-                bands = flat[: len(flat) // bits * bits].reshape(-1, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                keys.append(bands + (np.arange(len(bands)) << 40))
-            count = len(keys[0]) if keys else 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)), pa.array(np.repeat(rid, count)), pa.array(np.repeat(np.array(fp, np.int64), count))], names=["key", "rid", "fp"])
-
-    shards = source.mapInArrow(sketch, "key long, rid long, fp long").filter("fp <> 0").repartition("key").sortWithinPartitions("key")
-
-    def pairs(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        key, rid, fp = (t.column(c).to_numpy() for c in ("key", "rid", "fp"))
-        bounds = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        size = np.diff(bounds)
-        two = bounds[:-1][size == 2]  # most shards
-        apart = np.bitwise_count((fp[two] ^ fp[two + 1]).view(np.uint64)) <= NEAR
-        out = list(zip(rid[two][apart].tolist(), rid[two + 1][apart].tolist(), strict=True))
-        for s, e in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist(), strict=True):
-            out += candidate_pairs(list(zip(rid[s:e].tolist(), (fp[s:e].view(np.uint64)).tolist(), strict=True)))
-        found = np.array(sorted({(min(p), max(p)) for p in out}), np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
-
-    found = common.cut(shards.mapInArrow(pairs, "a long, b long").distinct())
-
-    def shingled(batches):
+                body = body.as_py()
+                flat = np.unpackbits(long_bits(body), bitorder="little")
+                bands = flat[: len(flat) // bits * bits].reshape(-1, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(len(flat) // bits) << 40)
+                n = len(shingles(body, width))
+                out.append(bands[: len(bands) if n else 0])
+                sizes.append((len(out[-1]), n))
+            many, n = np.array(sizes, np.int64).reshape(-1, 2).T
+            n = pa.array(np.repeat(n, many).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(batch.column("rid").to_numpy(), many)), n, n], names=["key", "rid", "n", "room"])
+
+    return source.mapInArrow(run, "key long, rid long, n int, room int")
+
+
+def verified(found: DataFrame, source: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of ``found`` whose texts in ``source`` have that similarity, decided by their shingles."""
+
+    def pack(batches):
         for batch in batches:
-            out = []
-            for body in batch.column("body"):
-                words = body.as_py().translate(FOLD).split()
-                out.append(np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[k : k + width]), 9) for k in range(max(1, len(words) - width + 1))), np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array(out, pa.list_(pa.int64()))], names=["rid", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([zlib.compress(b.as_py(), 1) for b in batch.column("body")], pa.binary())], names=["rid", "body"])
+
+    def decide(batches):
+        for batch in batches:
+            keep, last, held = [], None, None
+            for b, x, y in zip(batch.column("b").to_pylist(), batch.column("body_a"), batch.column("body_b"), strict=True):
+                if b != last:
+                    last, held = b, shingles(zlib.decompress(y.as_py()), width)
+                one = shingles(zlib.decompress(x.as_py()), width)
+                both = len(np.intersect1d(one, held, assume_unique=True))
+                keep.append(both >= similarity * (len(one) + len(held) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     who = found.select(F.col("a").alias("rid")).unionByName(found.select(F.col("b").alias("rid"))).distinct()
-    sets = common.cut(source.select("rid", "body").join(who.hint("shuffle_hash"), "rid", "left_semi").mapInArrow(shingled, "rid long, shingles array<long>"))
-    left, right = (sets.select(F.col("rid").alias(c), F.col("shingles").alias(f"s{c}")) for c in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return found.join(left, "a").join(right, "b").filter(both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
+    texts = common.cut(source.select("rid", "body").join(who.hint("shuffle_hash"), "rid", "left_semi").mapInArrow(pack, "rid long, body binary"))
+    left, right = (texts.select(F.col("rid").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
+    return common.cut(found.join(left, "a").join(right, "b").mapInArrow(decide, "a long, b long"))
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b), row ids of texts whose sets of ``width``-word shingles have at least this Jaccard similarity.
+
+    Their closure is that of all such pairs that meet in a shard. In a first round each
+    member of a shard is compared with one of it; in a second all pairs of its members are,
+    but those that the links of the first join and those that sizes or parity bitmaps rule
+    out (none of that similarity). The shingles decide.
+    """
+    source = common.keyed(docs, id_col, text_col)
+    shards = keys(source, similarity, width).repartition("key").sortWithinPartitions("key", "rid")
+
+    def first(batches):
+        for t, bounds in _whole_shards(batches):
+            rid, n, room = (t.column(c).to_numpy() for c in ("rid", "n", "room"))
+            size = np.diff(bounds)
+            hub = np.arange(len(rid))
+            hub[bounds[:-1][size == 2] + 1] -= 1  # most shards
+            for s, e in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist(), strict=True):
+                for a, b in candidate_pairs(list(zip(range(s, e), rid[s:e].tolist(), strict=True))):
+                    hub[b] = a
+            asked = (hub != np.arange(len(rid))) & possible(n[hub], room[hub], n, room, similarity)
+            more = np.repeat(size > 2, size)
+            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in t.column_names] + [pa.array(rid[hub]), pa.array(asked), pa.array(more)], names=[*t.column_names, "hub", "asked", "more"]).filter(pa.array(asked | more))
+
+    met = common.cut(shards.mapInArrow(first, "key long, rid long, n int, room int, hub long, asked boolean, more boolean"))
+    links = verified(met.filter("asked").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), source, similarity, width)
+    roots = graph.components(links).withColumnRenamed("node", "rid")
+    rows = met.filter("more").select("key", "rid", "n", "room").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+
+    def unsettled(batches):
+        for t, bounds in _whole_shards(batches):
+            root, size = t.column("root").to_numpy(), np.diff(bounds)
+            mixed = np.minimum.reduceat(root, bounds[:-1]) != np.maximum.reduceat(root, bounds[:-1])
+            yield t.combine_chunks().to_batches()[0].filter(pa.array(np.repeat(mixed, size)))
+
+    open_rows = common.cut(rows.select("key", "rid", "n", "room", "root").repartition("key").sortWithinPartitions("key").mapInArrow(unsettled, "key long, rid long, n int, room int, root long"))
+
+    def drawn(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([parity(shingles(b.as_py(), width)) for b in batch.column("body")], pa.binary())], names=["rid", "bits"])
+
+    bitmaps = source.select("rid", "body").join(open_rows.select("rid").distinct().hint("shuffle_hash"), "rid", "left_semi").mapInArrow(drawn, "rid long, bits binary")
+
+    def second(batches):
+        for t, bounds in _whole_shards(batches):
+            rid, n, room, root = (t.column(c).to_numpy() for c in ("rid", "n", "room", "root"))
+            bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(rid), -1)
+            out = set()
+            for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                out.update((min(p), max(p)) for p in other_pairs(rid[s:e], n[s:e], room[s:e], root[s:e], bits[s:e], similarity))
+            pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    rest = open_rows.join(bitmaps, "rid").repartition("key").sortWithinPartitions("key").mapInArrow(second, "a long, b long").distinct()
+    return links.unionByName(verified(common.cut(rest), source, similarity, width))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
