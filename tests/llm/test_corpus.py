@@ -350,3 +350,30 @@ def test_similar_pairs_in_a_hot_template(spark):
     for row in simhash.keys(simhash.common.keyed(df), 0.8, 5).collect():
         shards.setdefault(ids[row.rid], set()).add(row.key)
     assert {frozenset((ids[r.a], ids[r.b])) for r in simhash.similar(df).collect()} == {p for p in want if set.intersection(*(shards[k] for k in p))}
+
+
+def check_similar(spark, texts):
+    """The links have the closure of all similar pairs, by brute force."""
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    ids = {r.rid: r.doc_id for r in df.select("doc_id").withColumn("rid", F.monotonically_increasing_id()).collect()}
+    links = {frozenset((ids[r.a], ids[r.b])) for r in simhash.similar(df).collect()}
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in map(str.split, texts)]
+    want = {frozenset((a, b)) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert links <= want and closure(links) == closure(want)
+    return want
+
+
+@pytest.mark.parametrize("sample", [8_000, 100, 10**9])
+def test_similar_pairs_by_edits_in_one_piece(spark, sample, monkeypatch):
+    """Cut, appended and replaced paragraphs at the threshold, and lines that many texts share, whatever the order of shingles."""
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    r = random.Random(12)
+    word = lambda: f"w{r.randint(0, 3000)}"
+    line, texts = [word() for _ in range(12)], ["", "one", "one two", "one two"]
+    for _ in range(60):
+        w = [word() for _ in range(r.randint(30, 250))]
+        more = [word() for _ in range(int(len(w) * r.uniform(0.08, 0.24)))]
+        at = r.randint(0, len(w) - len(more))
+        texts += [" ".join(t + line) for t in (w, w[: len(w) - len(more)], w + more, w[:at] + more + w[at + len(more) :])]
+    links = {frozenset(p) for p in check_similar(spark, [t for t in texts if t])}
+    assert len(links) > 60

@@ -18,7 +18,9 @@ are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
+from functools import partial
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -166,9 +168,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return components(rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For similar texts: words of the long SimHash, bits of a band by the number of documents.
-LONG, BANDS = 15, ((2**22, 20), (2**30, 24), (2**62, 32))
-SEEDS = np.random.default_rng(31).integers(0, 2**63, LONG, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: For similar texts: documents whose shingles are counted, and how many shingles that recur there are told apart.
+SAMPLE, COMMON = 8_000, 100_000
 #: Bytes of a parity bitmap of shingles.
 PARITY = 256
 ODD = np.random.default_rng(37).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -193,21 +194,6 @@ def parity(h: np.ndarray) -> bytes:
     return np.packbits((count & 1).astype(np.uint8)).tobytes()
 
 
-def long_bits(body: bytes) -> np.ndarray:
-    """SimHash of LONG * 64 bits over the distinct words of a text, as bytes."""
-    words = set(body.translate(FOLD).split())
-    if not words:
-        return np.zeros(LONG * 8, np.uint8)
-    h = np.fromiter((xxhash.xxh64_intdigest(w, 7) for w in words), np.uint64, len(words))
-    ones = np.zeros(LONG * 64, np.int64)
-    for i in range(0, len(h), 255):
-        many = h[i : i + 255, None] * SEEDS[None]
-        many = (many ^ (many >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        many ^= many >> np.uint64(29)
-        ones += np.unpackbits(many.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return np.packbits(2 * ones > len(h), bitorder="little")
-
-
 def candidate_pairs(members: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Pairs of rows of a shard that are compared first: each with the smallest, which the shards of a group tend to have in common."""
     hub = min(members)[0]
@@ -219,14 +205,18 @@ def possible(n_a, room_a, n_b, room_b, similarity: float):
     return np.minimum(room_a, room_b) >= similarity / (1 + similarity) * (n_a + n_b) - 1e-6
 
 
-def other_pairs(rid, n, room, root, bits, similarity: float) -> list[tuple[int, int]]:
-    """All pairs of rows of a shard but those that have one ``root`` and those that sizes or bitmaps (a row of words each) rule out."""
+def other_pairs(rid, n, room, root, bits, similarity: float, spanning: bool = False) -> list[tuple[int, int]]:
+    """All pairs of rows of a shard but those that have one ``root`` and those that sizes or bitmaps (a row of words each) rule out; or a forest that spans these."""
     order, out = np.argsort(n, kind="stable"), []
     rid, n, room, root, bits = rid[order], n[order].astype(np.int64), room[order], root[order], bits[order]
     for i, e in enumerate(np.searchsorted(n, n / similarity + 1e-6, "right").tolist()):
         at = i + 1 + np.flatnonzero((root[i + 1 : e] != root[i]) & possible(n[i], room[i], n[i + 1 : e], room[i + 1 : e], similarity))
         differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
         at = at[differ <= (1 - similarity) / (1 + similarity) * (n[i] + n[at]) + 1e-6]
+        if spanning:
+            joined, one = np.unique(root[at], return_index=True)
+            root[np.isin(root, joined)] = root[i]
+            at = at[one]
         out += [(int(rid[i]), r) for r in rid[at].tolist()]
     return out
 
@@ -252,35 +242,62 @@ def _whole_shards(batches):
         yield t, bounds(t.column("key").to_numpy())
 
 
+def common_shingles(source: DataFrame, n_docs: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of shingles that recur in a sample of texts, with their counts: they come last in the order of all shingles."""
+
+    def run(batches):
+        for batch in batches:
+            out = [np.zeros(0, np.int64), *(shingles(b.as_py(), width).view(np.int64) for b in batch.column("body"))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["h"])
+
+    some = source.filter(F.pmod(F.xxhash64("rid"), F.lit(max(1, n_docs // SAMPLE))) == 0)
+    rows = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(COMMON).collect()
+    h, n = np.array([(r.h, r.n) for r in rows], np.int64).reshape(-1, 2).T
+    order = np.argsort(h.view(np.uint64))
+    return h.view(np.uint64)[order], n[order]
+
+
 def keys(source: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(key, rid, n, room): the shards of a text, its number of shingles, and how many of them texts that meet in the shard can share."""
-    n_docs = source.count()
-    bits = next(b for most, b in BANDS if n_docs <= most)
+    """(key, rid, n, room): the shards of a text, its number of shingles, and how many of them texts that meet first in the shard can share.
+
+    Shards are the first shingles of a text in an order of all shingles, rare ones before
+    common ones. So many of them are taken that the others are too few for the similarity,
+    hence similar texts meet at the first shingle that both have, whatever the order is.
+    """
+    hot, counts = common_shingles(source, source.count(), width)
 
     def run(batches):
         for batch in batches:
-            out, sizes = [np.zeros(0, np.int64)], []
+            out, sizes, room = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int32)]
             for body in batch.column("body"):
-                body = body.as_py()
-                flat = np.unpackbits(long_bits(body), bitorder="little")
-                bands = flat[: len(flat) // bits * bits].reshape(-1, bits).astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64)) + (np.arange(len(flat) // bits) << 40)
-                n = len(shingles(body, width))
-                out.append(bands[: len(bands) if n else 0])
-                sizes.append((len(out[-1]), n))
+                h = shingles(body.as_py(), width)
+                n = len(h)
+                first = n - math.ceil(similarity * n - 1e-6) + 1 if n else 0
+                if len(hot) and n:
+                    at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
+                    h = h[np.argsort(np.where(hot[at] == h, counts[at], 0), kind="stable")]
+                out.append(h[:first].view(np.int64))
+                sizes.append((first, n))
+                room.append(np.arange(n, n - first, -1, dtype=np.int32))
             many, n = np.array(sizes, np.int64).reshape(-1, 2).T
-            n = pa.array(np.repeat(n, many).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(batch.column("rid").to_numpy(), many)), n, n], names=["key", "rid", "n", "room"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(batch.column("rid").to_numpy(), many)), pa.array(np.repeat(n, many).astype(np.int32)), pa.array(np.concatenate(room))], names=["key", "rid", "n", "room"])
 
     return source.mapInArrow(run, "key long, rid long, n int, room int")
 
 
-def verified(found: DataFrame, source: DataFrame, similarity: float, width: int) -> DataFrame:
-    """The pairs (a, b) of ``found`` whose texts in ``source`` have that similarity, decided by their shingles."""
+def packed(source: DataFrame, who: DataFrame) -> DataFrame:
+    """(rid, body): the texts of the rows ``who`` (rid), compressed."""
 
-    def pack(batches):
+    def run(batches):
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([zlib.compress(b.as_py(), 1) for b in batch.column("body")], pa.binary())], names=["rid", "body"])
 
+    return common.cut(source.select("rid", "body").join(who.distinct().hint("shuffle_hash"), "rid", "left_semi").mapInArrow(run, "rid long, body binary"))
+
+
+def verified(found: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
+    """The pairs (a, b) of ``found`` whose texts (packed) have that similarity, decided by their shingles."""
+
     def decide(batches):
         for batch in batches:
             keep, last, held = [], None, None
@@ -292,8 +309,6 @@ def verified(found: DataFrame, source: DataFrame, similarity: float, width: int)
                 keep.append(both >= similarity * (len(one) + len(held) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    who = found.select(F.col("a").alias("rid")).unionByName(found.select(F.col("b").alias("rid"))).distinct()
-    texts = common.cut(source.select("rid", "body").join(who.hint("shuffle_hash"), "rid", "left_semi").mapInArrow(pack, "rid long, body binary"))
     left, right = (texts.select(F.col("rid").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
     return common.cut(found.join(left, "a").join(right, "b").mapInArrow(decide, "a long, b long"))
 
@@ -301,10 +316,10 @@ def verified(found: DataFrame, source: DataFrame, similarity: float, width: int)
 def similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b), row ids of texts whose sets of ``width``-word shingles have at least this Jaccard similarity.
 
-    Their closure is that of all such pairs that meet in a shard. In a first round each
-    member of a shard is compared with one of it; in a second all pairs of its members are,
-    but those that the links of the first join and those that sizes or parity bitmaps rule
-    out (none of that similarity). The shingles decide.
+    Their closure is that of all such pairs. In a first round each member of a shard is
+    compared with one of it. Later rounds leave out pairs that verified links join and those
+    that sizes or parity bitmaps rule out (none of that similarity): the second compares a
+    forest of the others, the third all that are left. The shingles decide.
     """
     source = common.keyed(docs, id_col, text_col)
     shards = keys(source, similarity, width).repartition("key").sortWithinPartitions("key", "rid")
@@ -323,36 +338,39 @@ def similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: st
             yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in t.column_names] + [pa.array(rid[hub]), pa.array(asked), pa.array(more)], names=[*t.column_names, "hub", "asked", "more"]).filter(pa.array(asked | more))
 
     met = common.cut(shards.mapInArrow(first, "key long, rid long, n int, room int, hub long, asked boolean, more boolean"))
-    links = verified(met.filter("asked").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), source, similarity, width)
-    roots = graph.components(links).withColumnRenamed("node", "rid")
-    rows = met.filter("more").select("key", "rid", "n", "room").join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-
+    texts = packed(source, met.select("rid").unionByName(met.filter("asked").select(F.col("hub").alias("rid"))))
+    links = verified(met.filter("asked").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), texts, similarity, width)
     def unsettled(batches):
         for t, bounds in _whole_shards(batches):
             root, size = t.column("root").to_numpy(), np.diff(bounds)
             mixed = np.minimum.reduceat(root, bounds[:-1]) != np.maximum.reduceat(root, bounds[:-1])
             yield t.combine_chunks().to_batches()[0].filter(pa.array(np.repeat(mixed, size)))
 
-    open_rows = common.cut(rows.select("key", "rid", "n", "room", "root").repartition("key").sortWithinPartitions("key").mapInArrow(unsettled, "key long, rid long, n int, room int, root long"))
-
     def drawn(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([parity(shingles(b.as_py(), width)) for b in batch.column("body")], pa.binary())], names=["rid", "bits"])
-
-    bitmaps = source.select("rid", "body").join(open_rows.select("rid").distinct().hint("shuffle_hash"), "rid", "left_semi").mapInArrow(drawn, "rid long, bits binary")
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([parity(shingles(zlib.decompress(b.as_py()), width)) for b in batch.column("body")], pa.binary())], names=["rid", "bits"])
 
-    def second(batches):
+    def rest(batches, spanning):
         for t, bounds in _whole_shards(batches):
             rid, n, room, root = (t.column(c).to_numpy() for c in ("rid", "n", "room", "root"))
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(rid), -1)
             out = set()
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                out.update((min(p), max(p)) for p in other_pairs(rid[s:e], n[s:e], room[s:e], root[s:e], bits[s:e], similarity))
+                out.update((min(p), max(p)) for p in other_pairs(rid[s:e], n[s:e], room[s:e], root[s:e].copy(), bits[s:e], similarity, spanning))
             pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    rest = open_rows.join(bitmaps, "rid").repartition("key").sortWithinPartitions("key").mapInArrow(second, "a long, b long").distinct()
-    return links.unionByName(verified(common.cut(rest), source, similarity, width))
+    open_rows = met.filter("more").select("key", "rid", "n", "room")
+    for spanning in (True, False):
+        roots = graph.components(links).withColumnRenamed("node", "rid")
+        rows = open_rows.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")).select("key", "rid", "n", "room", "root")
+        open_rows = common.cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(unsettled, "key long, rid long, n int, room int, root long"))
+        bitmaps = texts.join(open_rows.select("rid").distinct(), "rid", "left_semi").mapInArrow(drawn, "rid long, bits binary")
+        dealt = open_rows.join(bitmaps, "rid").repartition("key").sortWithinPartitions("key")
+        found = common.cut(dealt.mapInArrow(partial(rest, spanning=spanning), "a long, b long").distinct())
+        links = links.unionByName(verified(found, texts, similarity, width))
+        open_rows = open_rows.drop("root")
+    return links
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
