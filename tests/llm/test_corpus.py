@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewatch.llm import chat, decontaminate, exact, graph, mixing, phrases, repeats, secrets, simhash, suffix, tokens, toxicity
+from tidewatch.llm import bktree, chat, decontaminate, exact, graph, mixing, phrases, repeats, secrets, simhash, suffix, tokens, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid long, body string, key long"
 LOW = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -136,12 +136,36 @@ def test_simhash(docs, spark):
     values = [random.Random(k).getrandbits(64) for k in range(40)]
     values += [v ^ (1 << k) ^ (1 << (3 * k)) for k, v in enumerate(values[:20], 1)] + [values[0] ^ (7 << 60), values[0] ^ (15 << 60)]
     pairs = {frozenset((a, b)) for a in values for b in values if a != b and (a ^ b).bit_count() <= 3}
-    for blocks in (4, 5, 6):
+    for blocks, most in ((4, 4096), (5, 4096), (6, 4096), (4, 2)):  # the last splits nearly all shards that link anything
         signed = spark.createDataFrame([(v - 2**64 if v >= 2**63 else v,) for v in set(values)], "fp long")
-        found = {frozenset((r.a & (2**64 - 1), r.b & (2**64 - 1))) for r in simhash.links(signed, 3, blocks).collect()}
+        found = {frozenset((r.a & (2**64 - 1), r.b & (2**64 - 1))) for r in simhash.links(signed, 3, blocks, most).collect()}
         assert closure(found) == closure(pairs)
 
 
+@pytest.mark.parametrize("flips", [2, 5, 8])
+def test_trees_of_dense_and_small_shards(flips):
+    """Labels are those of brute force, in shards of near copies and of single members alike."""
+    import numpy as np
+
+    r = np.random.default_rng(flips)
+    shards = []
+    for n in (1, 2, 3, 900, 40, 1, 300):
+        x = np.full(n, r.integers(0, 2**63), np.uint64)
+        for _ in range(flips):
+            x = x ^ (np.uint64(1) << r.integers(0, 40, n).astype(np.uint64))
+        x = np.unique(x)
+        r.shuffle(x)
+        shards.append(x)
+    bounds = np.cumsum([0, *map(len, shards)])
+    got = bktree.Forest(np.concatenate(shards), bounds).link(3)
+    for x, at in zip(shards, bounds, strict=False):
+        near = np.bitwise_count(x[:, None] ^ x[None]) <= 3
+        label = np.arange(len(x))
+        while (label != (new := np.where(near, label[None], len(x)).min(1))).any():
+            label = new
+        assert (got[at : at + len(x)] == at + label).all()
+
+
 def closure(pairs):
     groups = []
     for p in pairs:

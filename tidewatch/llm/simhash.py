@@ -3,12 +3,14 @@
 Fingerprints are deduplicated first, so that a group of copies is one node. Two
 fingerprints within the radius agree in at least ``blocks - radius`` of the blocks that
 the 64 bits are cut into, so each fingerprint goes to one shard for each choice of so
-many blocks, and linked fingerprints meet in a shard. A shard builds a BK-tree (children
-keyed by the Hamming distance to the parent) and looks every fingerprint up in it along
-the edges within the radius only. A tree goes only to the task that holds its shard:
-sending all trees to all tasks would grow with the corpus. Per shard a spanning set of
-links is kept, which leaves the components as they are; components are then contracted
-by joins. ``blocks`` follows the number of distinct fingerprints, so shards stay small.
+many blocks, and linked fingerprints meet in a shard. ``blocks`` follows the number of
+distinct fingerprints, so shards stay small; a shard of more than ``MEMBERS`` is split by
+further blocks of the bits in which its members may differ. A shard builds a BK-tree
+(children keyed by the Hamming distance to the parent) and looks every fingerprint up in
+it along the edges within the radius only. A tree goes only to the task that holds its
+shard: sending all trees to all tasks would grow with the corpus. Per shard a spanning set
+of links is kept, which leaves the components as they are; components are then contracted
+by joins. Very long texts are hashed a few hundred shingles at a time.
 
 Defined results: null and empty texts have fingerprint zero, which is linked like any
 other; null ids rank above all others, and the id of a component is null only if all of
@@ -30,8 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common, graph
+from .bktree import Forest
 
 RADIUS = 3
+#: Distinct fingerprints of a shard that one tree holds; larger shards are split, down to so few free bits that they have no more values than that.
+MEMBERS, FEW = 4_096, 12
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -66,90 +71,58 @@ def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_c
     return common.keyed(docs, id_col, text_col).mapInArrow(run, "rid long, doc_id long, fp long")
 
 
-class BKTree:
-    def __init__(self, radius: int):
-        self.radius, self.root, self.kids = radius, None, {}
-
-    def near(self, x: int) -> list[int]:
-        """Members within the radius of x."""
-        found, todo, r = [], [] if self.root is None else [self.root], self.radius
-        while todo:
-            y = todo.pop()
-            d = (x ^ y).bit_count()
-            if d <= r:
-                found.append(y)
-            kids = self.kids[y]
-            if len(kids) <= 2 * r:
-                todo += [z for e, z in kids.items() if d - r <= e <= d + r]
-            else:
-                todo += [kids[e] for e in range(max(1, d - r), d + r + 1) if e in kids]
-        return found
-
-    def add(self, x: int) -> None:
-        if self.root is None:
-            self.root = x
-        elif x not in self.kids:
-            y = self.root
-            while True:
-                d, kids = (x ^ y).bit_count(), self.kids[y]
-                if d not in kids:
-                    kids[d] = x
-                    break
-                y = kids[d]
-        self.kids.setdefault(x, {})
-
-
-def shard_links(members: list[int], radius: int) -> list[tuple[int, int]]:
-    """(member, root) for members of one shard that the links within it connect; roots are members."""
-    if len(members) == 2:
-        return [tuple(members)] if (members[0] ^ members[1]).bit_count() <= radius else []
-    tree, root = BKTree(radius), {}
-
-    def find(x):
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for x in members:
-        root[x] = x
-        for y in tree.near(x):
-            root[find(y)] = find(x)
-        tree.add(x)
-    return [(x, r) for x in members if (r := find(x)) != x]
+def _signed(mask: int) -> int:
+    return mask - 2**64 if mask >= 2**63 else mask
+
+
+def _pieces(free: int, n: int) -> list[int]:
+    """The set bits of ``free`` in n runs of about equal size."""
+    bits = [1 << i for i in range(64) if free >> i & 1]
+    return [sum(bits[len(bits) * i // n : len(bits) * (i + 1) // n]) for i in range(n)]
 
 
 def _masks(blocks: int, radius: int) -> list[int]:
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    bits = [(1 << edges[i + 1]) - (1 << edges[i]) for i in range(blocks)]
-    return [sum(c) for c in combinations(bits, blocks - radius)]
+    return [sum(c) for c in combinations(_pieces(2**64 - 1, blocks), blocks - radius)]
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
-    """Links (a, b) whose closure is that of all pairs of ``fp`` within the radius."""
-    if blocks is None:
-        n = distinct.count()
-        blocks = radius + 1 if n < 2**23 else radius + 2 if n < 2**31 else radius + 3
-    signed = lambda m: m - 2**64 if m >= 2**63 else m
-    shards = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m)).cast("long")).alias("part")) for t, m in enumerate(_masks(blocks, radius))])
-    rows = distinct.select("fp", F.explode(shards).alias("s")).select("s.t", "s.part", "fp")
+def _split(rows: DataFrame, radius: int) -> DataFrame:
+    """Members (mask, part, fp) of shards that are too large, in shards that agree in a further block of the bits left."""
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
         for batch in batches:
-            held.append(batch)
-        if not held:
-            return
-        t, part, fp = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("t", "part", "fp"))
-        cuts = np.flatnonzero((t[1:] != t[:-1]) | (part[1:] != part[:-1])) + 1
-        bounds = np.concatenate(([0], cuts, [len(t)]))
-        out = []
-        for s, e in zip(bounds[:-1][np.diff(bounds) > 1], bounds[1:][np.diff(bounds) > 1], strict=True):
-            out += shard_links([x & (2**64 - 1) for x in fp[s:e].tolist()], radius)
-        pairs = np.array(out, np.uint64).reshape(-1, 2).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            mask, fp = (batch.column(c).to_numpy() for c in ("mask", "fp"))
+            wide = np.empty((len(mask), radius + 1), np.int64)
+            for m in np.unique(mask):
+                wide[mask == m] = [_signed((int(m) | piece) % 2**64) for piece in _pieces(~int(m) % 2**64, radius + 1)]
+            members = np.repeat(fp, radius + 1)
+            yield pa.RecordBatch.from_arrays([pa.array(wide.ravel()), pa.array(wide.ravel() & members), pa.array(members)], names=["mask", "part", "fp"])
+
+    return rows.select("mask", "fp").mapInArrow(run, "mask long, part long, fp long")
+
 
-    return rows.repartition("t", "part").sortWithinPartitions("t", "part").mapInArrow(run, "a long, b long")
+def _linked(batches, radius: int):
+    """(a, b): each member of a shard that is linked within it with one that stands for all of these."""
+    for t, bounds in _whole_shards(batches, ["mask", "part"]):
+        fp = t.column("fp").to_numpy().view(np.uint64)
+        label = Forest(fp, bounds).link(radius)
+        some = np.flatnonzero(label != np.arange(len(fp)))
+        yield pa.RecordBatch.from_arrays([pa.array(fp[some].view(np.int64)), pa.array(fp[label[some]].view(np.int64))], names=["a", "b"])
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int | None = None, most: int = MEMBERS) -> DataFrame:
+    """Links (a, b) whose closure is that of all pairs of ``fp`` (distinct) within the radius."""
+    if blocks is None:
+        n = distinct.count()
+        blocks = radius + 1 if n < 2**23 else radius + 2 if n < 2**31 else radius + 3
+    shards = F.array(*[F.struct(F.lit(_signed(m)).cast("long").alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("part")) for m in _masks(blocks, radius)])
+    rows = distinct.select("fp", F.explode(shards).alias("s")).select("s.mask", "s.part", "fp")
+    while True:
+        large = common.cut(rows.groupBy("mask", "part").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > most) & (F.bit_count("mask") < 64 - FEW)))
+        if large.isEmpty():
+            break
+        marked = rows.join(large, ["mask", "part"], "left")
+        rows = common.cut(marked.filter("n is null").select("mask", "part", "fp").unionByName(_split(marked.filter("n is not null"), radius)))
+    return rows.repartition("mask", "part").sortWithinPartitions("mask", "part").mapInArrow(partial(_linked, radius=radius), "a long, b long")
 
 
 def components(rows: DataFrame) -> DataFrame:
@@ -221,25 +194,32 @@ def other_pairs(rid, n, room, root, bits, similarity: float, spanning: bool = Fa
     return out
 
 
-def _whole_shards(batches):
-    """Tables of whole shards and the bounds of these, from batches sorted by ``key``; held are a batch and a shard."""
-    bounds = lambda key: np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+def _whole_shards(batches, key: list[str] = ["key"]):  # noqa: B006
+    """Tables of whole shards and the bounds of these, from batches sorted by the key; held are a batch and a shard."""
+
+    def bounds(t):
+        new = np.zeros(t.num_rows - 1, bool)
+        for c in key:
+            x = t.column(c).to_numpy()
+            new |= x[1:] != x[:-1]
+        return np.flatnonzero(np.concatenate(([True], new, [True])))
+
+    value = lambda t, i: tuple(t.column(c)[i].as_py() for c in key)
     kept: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column("key").to_numpy()
-        last = int(np.searchsorted(key, key[-1]))
-        if kept and key[-1] == kept[-1].column("key")[0].as_py():
+        if kept and value(batch, batch.num_rows - 1) == value(kept[-1], 0):
             kept.append(batch)
             continue
+        last = int(bounds(batch)[-2])
         t = pa.Table.from_batches([*kept, batch.slice(0, last)]).combine_chunks()
         if t.num_rows:
-            yield t, bounds(t.column("key").to_numpy())
+            yield t, bounds(t)
         kept = [batch.slice(last)]
     if kept:
         t = pa.Table.from_batches(kept).combine_chunks()
-        yield t, bounds(t.column("key").to_numpy())
+        yield t, bounds(t)
 
 
 def common_shingles(source: DataFrame, n_docs: int, width: int) -> tuple[np.ndarray, np.ndarray]:
