@@ -177,3 +177,63 @@ def test_folds_by_key_end_together(spark):
     spec = "input v: Int64\noutput n @1s := v.aggregate(over: 1s, using: count)"
     df = spark.createDataFrame([(0, 0, "p", 1), (5 * S // 2, 1, "q", 5)], "__ts long, __seq long, k string, v long")
     assert fold.fold(spec, df, ["k"]).filter("change = 'Value'").count() == 4
+
+
+def test_the_clock_moves_without_events():
+    m = machine.Machine("input v: Int64\noutput n @1h := v.aggregate(over: 2h, using: count)")
+    fired_at = []
+    for _ in range(30):
+        fired_at += [ts for ts, _ in m.advance(m.now + 600 * S)]
+        m = machine.Machine.restore(m.text, m.state())
+    assert fired_at == [k * 3600 * S for k in range(1, 6)]
+
+
+def test_values_of_closed_instances_are_forgotten():
+    spec = "input a: Int64\noutput b(p) spawn with a close @a when true eval when p == a with a\noutput n @a := b(1).aggregate(over: 1s, using: count)"
+    spec = spec.replace("output n @a", "output n @1s")
+    m = machine.Machine(spec)
+    for k in range(3000):
+        m.event(k * S // 10, {"a": 1 + k % 2})
+    assert sum(map(len, m.drained.values())) < 200
+
+
+def test_unsigned_values_have_no_sign(spark):
+    df = spark.createDataFrame([(0, 0, 2, -3)], "__ts long, __seq long, u long, a long")
+    for text in ("output x := u - 5", "output x := cast<UInt64>(a)"):
+        spec = f"input u: UInt64\ninput a: Int64\n{text}"
+        with pytest.raises(Exception, match="unsigned"):
+            compile_spec(spec, df).stream("x").collect()
+        with pytest.raises(SpecError, match="unsigned"):
+            machine.run(spec, [(0, {"u": 2, "a": -3})])
+    assert compile_spec("input u: UInt64\noutput x := u - 2", df).stream("x").collect()[0]["value"] == 0
+
+
+def test_cycles_of_one_time_are_told_apart(spark):
+    df = spark.createDataFrame([(S, 4, 5), (S, 5, 10)], "__ts long, __seq long, x long")
+    for result in (api.monitor("input x: Int64\noutput y := x", df), api.Result("", None, fold.fold("input x: Int64\noutput y := x", df))):
+        lines = sinks.json_rows(result.changes()).orderBy("ts", "kind", "seq").collect()
+        assert [json.loads(r.value)["streams"]["y"] for r in lines] == [[{"eval": "5"}], [{"eval": "10"}]]
+
+
+def test_summed_times_by_blocks(spark, monkeypatch):
+    from tidewatch.sources import times
+
+    monkeypatch.setattr(times, "BLOCK", 4)
+    df = spark.createDataFrame([(k, k + 1) for k in range(11)], "__seq long, d long")
+    assert [r["__ts"] for r in times.with_time(df, "offset_nanos", "d").orderBy("__seq").collect()] == [(k + 1) * (k + 2) // 2 for k in range(11)]
+    assert [r["__ts"] for r in times.with_time(df, "delay", delay_ns=7).orderBy("__seq").collect()] == [7 * k for k in range(11)]
+
+
+def test_live_queries_leave_out_late_events_and_keep_large_numbers(spark, tmp_path):
+    spec = "input v: Int64\ninput w: Int64\noutput q := v / 2\noutput s @v := w.hold(or: 0)"
+    src, out = tmp_path / "in", tmp_path / "out"
+    schema = "`__ts` long, `__seq` long, k string, v long, w long"
+    big = 2**60 + 1
+    for i, part in enumerate([[(5 * S, 0, "p", 7, None), (6 * S, 1, "p", 9, big)], [(S, 2, "p", 100, 1), (7 * S, 3, "p", -3, None)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src / f"b={i}"))
+    stream = spark.readStream.schema(schema + ", b int").option("maxFilesPerTrigger", 1).parquet(str(src)).drop("b")
+    query = fold.live(spec, stream, ["k"], late="drop").writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    rows_ = spark.read.parquet(str(out)).filter("change = 'Value'").collect()
+    assert sorted((r.ts // S, r.value) for r in rows_ if r.stream == "q") == [(5, "3"), (6, "4"), (7, "-1")]
+    assert sorted((r.ts // S, r.value) for r in rows_ if r.stream == "s") == [(5, "0"), (6, str(big)), (7, str(big))]

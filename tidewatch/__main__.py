@@ -59,8 +59,10 @@ def main(argv: list[str] | None = None) -> int:
         if result.plan is None:
             raise SystemExit("CSV needs a specification without spawned streams")
         lines = sinks.csv_rows(result.plan, [n for n in shown if n not in result.plan.keyed], a.output_time_format)
+        if not a.output_file:
+            print(",".join(lines.columns))
     else:
-        lines = (sinks.log_rows(changes.orderBy("ts"), spec.triggers(), a.output_time_format) if a.output_format == "log" else sinks.json_rows(changes, a.output_time_format)).select("value")
+        lines = (sinks.log_rows(changes, spec.triggers(), a.output_time_format) if a.output_format == "log" else sinks.json_rows(changes, a.output_time_format)).orderBy("ts", "kind", "seq").select("value")
     if a.output_file:
         (lines.write.csv(a.output_file, header=True) if a.output_format == "csv" else lines.write.text(a.output_file))
     else:

@@ -22,9 +22,9 @@ class Result:
     folded: DataFrame | None
 
     def changes(self) -> DataFrame:
-        """ts, stream, change, params, value (as messages show it)."""
+        """ts, kind and seq of the cycle, stream, change, params, value (as messages show it); ordered by the first three."""
         if self.plan is not None:
-            return self.plan.changes().select("ts", "stream", "change", F.coalesce("params", F.lit("")).alias("params"), "value")
+            return self.plan.changes().select("ts", "kind", "seq", "stream", "change", F.coalesce("params", F.lit("")).alias("params"), "value")
         return self.folded
 
     def triggers(self) -> DataFrame:

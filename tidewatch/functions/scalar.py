@@ -26,17 +26,33 @@ def quotient(a: Column, b: Column, kind) -> Column:
     return F.when(b == 0, edge).otherwise(F.try_divide(a.cast("double"), b.cast("double")))
 
 
-def binary(op: str, a: Column, b: Column, ta, tb, nullable: bool = False) -> Column:
+def power(a: Column, b: Column, exponent: int | None) -> Column:
+    """Whole powers by multiplication, which is exact and fails where the result has no room."""
+    one = F.lit(1).cast("bigint")
+    if exponent is not None and 0 <= exponent <= 64:
+        out = None
+        for bit in bin(exponent)[2:]:
+            out = a if out is None and bit == "1" else out if out is None else out * out * a if bit == "1" else out * out
+        return one if out is None else F.when(a.isNotNull(), out)
+    negative = F.raise_error(F.lit("a whole power with a negative exponent")).cast("bigint")
+    return F.when(b < 0, negative).when(b == 0, one).otherwise(F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.greatest(b, F.lit(1))), one, lambda acc, _: acc * a))
+
+
+def binary(op: str, a: Column, b: Column, ta, tb, constant=None) -> Column:
+    """constant: the value of b, if it is one. Equality is also that of missing values."""
     kind = "float" if "float" in (ta, tb) else "fixed" if "fixed" in (ta, tb) else "uint" if ta == tb == "uint" else "int" if ta in INTS else ta or tb
     if op in ("&&", "||"):
         return a & b if op == "&&" else a | b
     if op in ("==", "!="):
-        same = a.eqNullSafe(b) if nullable else a == b
+        same = a.eqNullSafe(b)
         return same if op == "==" else ~same
     if op in ("<", "<=", ">", ">="):
         if "bool" in (ta, tb) or isinstance(ta, tuple):
             raise SpecError(f"{op} doesn't order {ta}")
         return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
+    if op == "-" and kind == "uint":
+        below = F.raise_error(F.concat(F.lit("an unsigned difference below 0: "), a.cast("string"), F.lit(" - "), b.cast("string"))).cast("bigint")
+        return F.when(a < b, below).otherwise(a - b)
     if op in ("+", "-", "*"):
         return {"+": a + b, "-": a - b, "*": a * b}[op]
     if op == "/":
@@ -44,7 +60,7 @@ def binary(op: str, a: Column, b: Column, ta, tb, nullable: bool = False) -> Col
     if op == "%":
         return a % b
     if op == "**":
-        return F.pow(a, b).cast("bigint") if kind in INTS else F.pow(a, b)
+        return power(a, b, constant) if kind in INTS else F.pow(a, b)
     if op in ("&", "|", "^") and kind == "bool":
         if op == "^":
             raise SpecError("^ isn't defined on Bool")
@@ -86,6 +102,8 @@ def cast(a: Column, kind, to) -> Column:
     if kind == "float" and to in INTS:  # truncates and saturates
         low = 0.0 if to == "uint" else -9.223372036854775e18
         return F.least(F.greatest(a, F.lit(low)), F.lit(9.223372036854774e18)).cast("bigint")
+    if kind == "int" and to == "uint":  # values above the signed range have no column type here
+        return F.when(a < 0, F.raise_error(F.concat(F.lit("no unsigned value: "), a.cast("string"))).cast("bigint")).otherwise(a)
     if kind == "fixed" and to in INTS:
         return F.bround(a, 0).cast("bigint")
     return a.cast(sql_type(to))

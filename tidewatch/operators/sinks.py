@@ -37,13 +37,13 @@ def write_csv(plan: Plan, names: list[str], path: str, time_format: str = "relat
 
 
 def json_rows(changes: DataFrame, time_format: str = "relative") -> DataFrame:
-    """One JSON object per cycle: time, and per stream the instances with what happened to them."""
+    """One JSON object (``value``) per cycle (ts, kind, seq): time, and per stream the instances with what happened to them."""
     change = lambda k: F.max(F.when(F.col("change") == k, F.lit(True)))
-    per = changes.groupBy("ts", "stream", "params").agg(change("Spawn").alias("spawn"), F.max(F.when(F.col("change") == "Value", F.col("value"))).alias("eval"), change("Close").alias("close"))
+    per = changes.groupBy("ts", "kind", "seq", "stream", "params").agg(change("Spawn").alias("spawn"), F.max(F.when(F.col("change") == "Value", F.col("value"))).alias("eval"), change("Close").alias("close"))
     one = F.struct(F.when(F.col("params") != "", F.col("params")).alias("instance"), "spawn", "eval", "close")
-    streams = per.groupBy("ts", "stream").agg(F.sort_array(F.collect_list(one)).alias("instances"))
-    cycles = streams.groupBy("ts").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stream", "instances")))).alias("streams"))
-    return cycles.select(F.to_json(F.struct(times.shown(F.col("ts"), time_format).alias("time"), "streams"), {"ignoreNullFields": "true"}).alias("value"))
+    streams = per.groupBy("ts", "kind", "seq", "stream").agg(F.sort_array(F.collect_list(one)).alias("instances"))
+    cycles = streams.groupBy("ts", "kind", "seq").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("stream", "instances")))).alias("streams"))
+    return cycles.select("ts", "kind", "seq", F.to_json(F.struct(times.shown(F.col("ts"), time_format).alias("time"), "streams"), {"ignoreNullFields": "true"}).alias("value"))
 
 
 def log_rows(changes: DataFrame, triggers: list[str], time_format: str = "relative") -> DataFrame:
@@ -53,7 +53,7 @@ def log_rows(changes: DataFrame, triggers: list[str], time_format: str = "relati
     is_trigger = number >= 0
     who = F.when(is_trigger, F.concat(F.lit("[Trigger][#"), number.cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("[Output]["), name, F.lit("]")))
     value = F.when(F.col("change") == "Value", F.concat(F.lit(" = "), F.when(is_trigger, F.concat(F.lit('"'), F.col("value"), F.lit('"'))).otherwise(F.col("value")))).otherwise(F.lit(""))
-    return changes.select("ts", F.concat(F.lit("["), times.shown(F.col("ts"), time_format), F.lit("]"), who, F.lit("["), F.col("change"), F.lit("]"), value).alias("value"))
+    return changes.select("ts", "kind", "seq", F.concat(F.lit("["), times.shown(F.col("ts"), time_format), F.lit("]"), who, F.lit("["), F.col("change"), F.lit("]"), value).alias("value"))
 
 
 def statistics(changes: DataFrame, triggers: list[str]) -> DataFrame:

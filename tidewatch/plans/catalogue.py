@@ -203,7 +203,7 @@ def _catalogue() -> dict[str, tuple]:
     k = lambda cols: f"{Q} select event_id, user_id as u, {cols} as value from q"
     add("param_count", _keyed("output b(u) spawn with user_id eval when u == user_id with b(u).offset(by: -1).defaults(to: 0) + 1", "b"), k(f"count(*) {per}"))
     add("param_running_sum", _keyed("output b(u) spawn with user_id eval when u == user_id with b(u)[-1].defaults(to: 0) + v", "b"), k(f"cast(sum(v) {per} as bigint)"))
-    add("param_filtered_spawn", _keyed('output b(u) spawn with user_id when event_type == "purchase" eval when u == user_id && v > 500 with v', "b"), f"{Q} select event_id, user_id as u, v as value from q where event_type = 'purchase' and v > 500")
+    add("param_filtered_spawn", _keyed('output b(u) spawn with user_id when event_type == "purchase" eval when u == user_id && v > 500 with v', "b"), f"{Q} select event_id, user_id as u, v as value from (select *, count(*) filter (event_type = 'purchase') {per} as born from q) where born > 0 and v > 500")
     add("param_two_keys", _keyed("output b(u, e) spawn with (user_id, event_type) eval when u == user_id && e == event_type with max(b(u, e)[-1].defaults(to: 0), v)", "b"), f"{Q} select event_id, user_id as u, event_type as e, greatest(0, max(v) over (partition by user_id, event_type order by rn)) as value from q")
     add("param_close_reset", _keyed("output b(u) spawn with user_id close when b(u) == 5 eval when u == user_id with b(u)[-1].defaults(to: 0) + 1", "b"), k(f"(row_number() {per} - 1) % 5 + 1"))
     add("param_close_event", _keyed('output b(u) spawn with user_id close @v when event_type == "signup" eval when u == user_id with b(u)[-1].defaults(to: 0) + v', "b"), f"{Q}, s as (select *, count(*) filter (event_type = 'signup') over (order by rn rows between unbounded preceding and 1 preceding) as seg from q) select event_id, user_id as u, cast(sum(v) over (partition by user_id, seg order by rn) as bigint) as value from s")

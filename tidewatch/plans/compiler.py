@@ -210,13 +210,16 @@ class Compiler:
             raise NotRelational("periodic spawns")
         if s.spawn.when is not None:
             spawn_on = spawn_on & F.coalesce(base.col(s.spawn.when), F.lit(False))
-        key_cols = [self.trace._new(F.when(spawn_on, base.col(g))) for g in given]
         if len(s.evals) != 1:
             raise NotRelational(f"{s.name} has several eval clauses")
         c = s.evals[0]
         pace = self.an.pacing(s, c)
         if is_tick(pace):
-            return self._keyed_ticks(s, names, key_cols, c, pace)
+            return self._keyed_ticks(s, names, [self.trace._new(F.when(spawn_on, base.col(g))) for g in given], c, pace)
+        # an instance lives from its spawn on; later cycles needn't meet the condition of the spawn
+        key_cols = [self.trace._new(base.col(g)) for g in given]
+        spawns = self.trace._new(spawn_on)
+        always = s.spawn.when is None and self._implies(pace, self.an.pacing(s, s.spawn))
         rest = self._own_key(c.when, names, given)
         if rest is None:
             raise NotRelational(f"{s.name} is evaluated for all instances")
@@ -224,6 +227,8 @@ class Compiler:
         life, closes, every = F.lit(0), None, None
         if s.close is not None:
             every = self._closes_itself(s, c)
+            if every is not None and not always:
+                raise NotRelational(f"{s.name} closes itself and is spawned under a condition")
             if every is None:
                 if any(t == s.name or t in names for e in [s.close.when] for x in walk(e) for t in [x.value] if x.kind in ("name", "call")):
                     raise NotRelational(f"{s.name} is closed by its own value")
@@ -231,8 +236,8 @@ class Compiler:
                 done = self.trace._new(F.when(mark, F.lit(1)))
                 total = self.trace.running(done, "sum")
                 # a close takes effect after its cycle
-                closes = self.trace._new(F.coalesce(total, F.lit(0)) - F.coalesce(done, F.lit(0)))
-                life = closes
+                closes = self.trace._named(F.coalesce(total, F.lit(0)) - F.coalesce(done, F.lit(0)))
+                life = F.col(closes)
         on = self.trace._new(self.active(pace))
         env = Env(self, self.trace, {})
         # what the clause reads of unkeyed streams must be a column before rows are taken out
@@ -246,12 +251,15 @@ class Compiler:
         rows = Trace(df, ORDER, [*keys, "__life"])
         inner = Env(self, rows, dict(zip(names, keys, strict=True)), self.an.param_types(s), s.name)
         is_on = on
+        if not always:
+            is_on = is_on & F.coalesce(rows.running(F.when(spawns, F.lit(True)), "or"), F.lit(False))
         for x in where:
             is_on = is_on & F.coalesce(inner.col(x), F.lit(False))
         if every is not None:
             n = rows.running(F.when(is_on, F.lit(1)), "sum")
             count = rows._new(F.when(is_on, (n - 1) % every + 1))
-            rows.df = rows.df.withColumn("__life", F.when(is_on, F.call_function("div", n - 1, F.lit(every))).otherwise(F.col("__life")).cast("bigint"))
+            before = F.coalesce(n, F.lit(0)) - F.when(is_on, F.lit(1)).otherwise(F.lit(0))
+            rows.df = rows.df.withColumn("__life", F.call_function("div", before, F.lit(every)).cast("bigint"))
             v = count.cast("bigint")
         elif self._reads_past(value, s):
             v = inner.accumulate(s, value, is_on)
@@ -261,14 +269,24 @@ class Compiler:
         kept = rows.df.filter(v.isNotNull()).withColumn("value", v)
         named = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
         out = kept.select(*ORDER, SLICE, *named, F.col("__life").alias("life"), "value")
-        births = rows.df.groupBy(*keys, "__life").agg(F.min(F.struct(*ORDER)).alias("b")).select("b.*", *named, F.col("__life").alias("life"))
+        births = rows.df.filter(spawns).groupBy(*keys, "__life").agg(F.min(F.struct(*ORDER)).alias("b")).select("b.*", *named, F.col("__life").alias("life"))
         ends = None
         if every is not None:
             ends = out.filter(F.col("value") == every).select(*ORDER, *names)
         elif closes is not None:  # the n-th close ends what was born after the one before it
             marks = self.trace.df.filter(done.isNotNull()).select(*ORDER, total.alias("__n"))
             ends = births.select(*names, "life").join(marks, F.col("life") + 1 == F.col("__n")).select(*ORDER, *names)
-        self.keyed[s.name] = Keyed(out, names, None if closes is None else closes._jc.toString(), every, births, ends)
+        self.keyed[s.name] = Keyed(out, names, closes, every, births, ends)
+
+    def _implies(self, p: E, q: E) -> bool:
+        """Whether cycles of event-based pacing p are cycles of q."""
+        if q.kind == "const" or p == q:
+            return True
+        if q.kind == "bin":
+            return (all if q.value == "&&" else any)(self._implies(p, x) for x in q.args)
+        if p.kind == "bin":
+            return (any if p.value == "&&" else all)(self._implies(x, q) for x in p.args)
+        return False
 
     def _own_key(self, when: E | None, names: list[str], given) -> list[E] | None:
         """The filter without ``p == k`` for every parameter; None if some parameter has no such part."""
@@ -403,7 +421,10 @@ class Env:
             return scalar.unary(e.value, self.col(e.args[0]))
         if k == "bin":
             a, b = e.args
-            return scalar.binary(e.value, self.col(a), self.col(b), self.type(a), self.type(b))
+            ta, tb = self.type(a), self.type(b)
+            if "uint" in (ta, tb) and self.type(e) == "uint":
+                ta = tb = "uint"
+            return scalar.binary(e.value, self.col(a), self.col(b), ta, tb, b.value if b.kind == "const" else None)
         if k == "call":
             return self._function(e.value, e.args, e.named)
         if k == "method":
@@ -501,11 +522,10 @@ class Env:
             start = past(a)
             if start is not None and not mine(b):
                 reset = self.trace._new(F.when(on, self.col(e.args[0])))
-                part = self.trace.running(F.when(reset, F.lit(1)), "sum")
+                part = self.trace._new(F.coalesce(self.trace.running(F.when(reset, F.lit(1)), "sum"), F.lit(0)))
                 x = self.trace._new(F.when(on, F.when(reset, self.col(e.args[1])).otherwise(self.col(b))))
-                whole = self.trace.running(x, "sum")  # less what came before the last reset
-                base = self.trace.running(F.when(reset, whole - x), "last")
-                return F.when(x.isNotNull(), whole - F.when(part.isNull(), -self.col(start)).otherwise(base))
+                total = self.trace.running_in(x, part)
+                return F.when(x.isNotNull(), F.when(part == 0, self.col(start) + total).otherwise(total))
         raise NotRelational(f"{s.name} is no running aggregate")
 
     # windows

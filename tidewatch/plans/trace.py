@@ -29,6 +29,12 @@ class Trace:
         self.df = self.df.withColumn(name, col)
         return F.col(name)
 
+    def _named(self, col: Column) -> str:
+        """The name of a new column."""
+        name = f"__x{self.n + 1}_{len(self.df.columns)}"
+        self._new(col)
+        return name
+
     @property
     def part(self) -> list:
         return [F.col(k) for k in self.keys] if self.keys is not None else [F.col(SLICE)]
@@ -65,6 +71,22 @@ class Trace:
         merge = {"last": lambda a, b: F.coalesce(b, a), "sum": lambda a, b: F.coalesce(a + b, a, b), "count": lambda a, b: F.coalesce(a, F.lit(0)) + b, "min": F.least, "max": F.greatest, "and": lambda a, b: F.coalesce(a & b, a, b), "or": lambda a, b: F.coalesce(a | b, a, b)}[how]
         return self._new(merge(earlier, local))
 
+    def running_in(self, x: Column, part: Column) -> Column:
+        """Sum of the values of x up to each row since ``part``, a count that never falls, was what it is there. No sum goes over a change of it, so nothing is subtracted."""
+        x, part = self._new(x), self._new(part)
+        local = self._new(F.sum(x).over(self.window(part).rowsBetween(Window.unboundedPreceding, 0)))
+        if not self.sliced or self.keys is not None:
+            return local
+        per = self.df.groupBy(SLICE, part.alias("part")).agg(F.sum(x).alias("own")).groupBy(SLICE).agg(F.max("part").alias("last"), F.max_by("own", "part").alias("own"))
+        self.n += 1
+        name = f"__r{self.n}_{len(self.df.columns)}"
+        carried = F.struct("last", F.sum("own").over(Window.partitionBy("last").orderBy(SLICE)).alias("sum"))
+        # one short row per slice
+        per = per.withColumn("upto", carried).select(SLICE, F.lag("upto").over(Window.orderBy(SLICE)).alias(name))
+        self.df = self.df.join(F.broadcast(per), SLICE, "left")
+        earlier = F.when(F.col(name)["last"] == part, F.col(name)["sum"])
+        return self._new(F.coalesce(earlier + local, earlier, local))
+
     def recent(self, x: Column, n: int) -> Column:
         """On rows where x isn't null: the array of the last n such values, oldest first; else null."""
         x = self._new(x)

@@ -9,11 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..lang.syntax import parse
+from ..lang.analysis import Analysis
+from ..lang.syntax import SpecError, parse
 from .machine import Machine, show
 
-SCHEMA = "ts long, stream string, change string, params string, value string"
-COLUMNS = ["ts", "stream", "change", "params", "value"]
+SCHEMA = "ts long, kind int, seq long, stream string, change string, params string, value string"
+COLUMNS = ["ts", "kind", "seq", "stream", "change", "params", "value"]
 
 
 def _plain(v):
@@ -21,16 +22,16 @@ def _plain(v):
 
 
 def rows_of(cycles) -> list[tuple]:
-    return [(ts, c.stream, c.kind, ", ".join(map(show, c.params)), None if c.kind != "Value" else show(c.value)) for ts, changes in cycles for c in changes]
+    return [(ts, *c.cycle, c.stream, c.kind, ", ".join(map(show, c.params)), None if c.kind != "Value" else show(c.value)) for ts, changes in cycles for c in changes]
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), *[pa.string()] * 4]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), *[pa.string()] * 4]
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=COLUMNS)
 
 
 def fold(text: str, events: DataFrame, keys: list[str] | None = None, end: int | None = None) -> DataFrame:
-    """All changes of a trace: ts, stream, change, params, value (as messages show it).
+    """All changes of a trace: ts, kind and seq of the cycle, stream, change, params, value (as messages show it).
 
     Without keys the specification relates all events, and one task folds them in order,
     holding only what the specification looks back to. With keys every key is a trace of
@@ -55,7 +56,7 @@ def fold(text: str, events: DataFrame, keys: list[str] | None = None, end: int |
                     if machine is not None:
                         out += rows_of(machine.advance(end))
                     machine, at = Machine(text), key
-                out += rows_of(machine.event(r["__ts"], {i: _plain(r[i]) for i in inputs}))
+                out += rows_of(machine.event(r["__ts"], {i: _plain(r[i]) for i in inputs}, r["__seq"]))
             yield _batch(out)
         if machine is not None:
             yield _batch(rows_of(machine.advance(end)))
@@ -63,16 +64,28 @@ def fold(text: str, events: DataFrame, keys: list[str] | None = None, end: int |
     return ordered.mapInArrow(run, SCHEMA)
 
 
-def live(text: str, stream: DataFrame, keys: list[str], timeout_ms: int | None = None) -> DataFrame:
+def live(text: str, stream: DataFrame, keys: list[str], timeout_ms: int | None = None, late: str = "raise") -> DataFrame:
     """A streaming DataFrame of changes. stream: ``__ts``, ``__seq``, inputs and keys (a constant column for one global trace).
 
-    Each key keeps its machine in the state store. Events of a batch are taken in order;
-    deadlines before an event run when it comes, and where ``timeout_ms`` is given those
-    that passed without an event run when the time is up.
+    Each key keeps its machine, with its clock, in the state store. Events of a batch are
+    taken in order; deadlines before an event run when it comes, and where ``timeout_ms`` is
+    given those that passed without an event run when the time is up. An event before the
+    clock ends the query, or is left out where ``late`` is "drop".
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    inputs = [s.name for s in parse(text).inputs]
+    analysis = Analysis(parse(text))
+    kinds = {s.name: analysis.stream_type(s) for s in analysis.spec.inputs}
+    inputs, whole = list(kinds), [n for n, t in kinds.items() if t in ("int", "uint")]
+    if late not in ("raise", "drop"):
+        raise SpecError(f"late events are raised or dropped, not {late}")
+    # whole numbers go as text: pandas would make those of a column with nulls floats
+    stream = stream.select([F.col(f"`{c}`").cast("string").alias(c) if c in whole and c not in keys else F.col(f"`{c}`") for c in stream.columns])
+
+    def value(name, x):
+        if x is None or x is pd.NA or isinstance(x, float) and x != x:
+            return None
+        return int(x) if name in whole else _plain(x.item() if hasattr(x, "item") else x)
 
     def step(key, parts, state):
         machine = Machine.restore(text, pickle.loads(state.get[0])) if state.exists else Machine(text)
@@ -82,7 +95,8 @@ def live(text: str, stream: DataFrame, keys: list[str], timeout_ms: int | None =
         else:
             events = pd.concat(list(parts)).sort_values(["__ts", "__seq"], kind="stable")
             for r in events.to_dict("records"):
-                out += rows_of(machine.event(int(r["__ts"]), {i: None if r[i] is None or r[i] is pd.NA or isinstance(r[i], float) and r[i] != r[i] else _plain(r[i].item() if hasattr(r[i], "item") else r[i]) for i in inputs}))
+                if int(r["__ts"]) >= machine.now or late == "raise":
+                    out += rows_of(machine.event(int(r["__ts"]), {i: value(i, r[i]) for i in inputs}, int(r["__seq"])))
         state.update((pickle.dumps(machine.state()),))
         if timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
