@@ -1,18 +1,22 @@
 """Chat formatting by a finite-state machine over roles, in DataFrame functions only.
 
-A declarative template gives the marks around the turns of each role, the roles whose
-text carries loss, and the transitions between roles. Control strings inside texts are
-escaped reversibly: a backslash is doubled, and a single one is put after the first
-character of each control string, so a text never contains a control string and the
-output can be read back. A conversation becomes a list of segments (text, loss); their
-concatenation is the formatted conversation.
+A declarative template gives the marks around the turns of each role, the states of the
+machine (one for each role that it names, one for all others), the moves that are allowed
+from each, and the states in which text carries loss. The machine runs over the turns and
+leaves a trace, the state of every turn and whether the move was allowed; segments take
+their loss flag from it. Control strings inside texts are escaped reversibly: a backslash
+is doubled, and a single one is put after the first character of each control string, so a
+text never contains a control string and the output can be read back. A conversation
+becomes a list of segments (text, loss); their concatenation is the formatted conversation.
 
 Defined results: turns are ordered by turn, then role, then text (nulls first), so ties
 and repeated rows have one order and are all kept; null texts and roles are empty
 strings; roles that the template doesn't name are written with their name; turns in an
-order that the machine rejects are formatted too, ``valid`` is then false and
-``bad_turn`` tells the place (from 0) of the first such turn; a null conversation id is
-a conversation of its own; an empty table gives no rows; further columns are ignored.
+order that the machine rejects are formatted too (it goes on from the state of the role),
+``valid`` is then false and ``bad_turn`` tells the place (from 0) of the first such turn;
+``valid`` is false as well if the last state is not final; a null conversation id is a
+conversation of its own; very long texts and conversations are formatted whole, each as
+one row; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +52,7 @@ class Template:
 
         return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
 
-    def segments(self, turn):
+    def segments(self, turn, state):
         """Three segments of a turn: mark, text, mark."""
         body = self.escape(turn["text"])
         before, after = F.concat(F.lit(self.other[0]), self.escape(turn["role"]), F.lit(self.other[1])), F.lit(self.other[2])
@@ -57,14 +61,24 @@ class Template:
             after = F.when(turn["role"] == role, F.lit(b)).otherwise(after)
         piece = lambda t, loss: F.struct(t.alias("text"), loss.alias("loss"))
         no = F.lit(False)
-        return F.array(piece(before, no), piece(body, turn["role"].isin(*self.loss)), piece(after, no))
+        return F.array(piece(before, no), piece(body, F.lower(state).isin(*[self.letter(r) for r in self.loss])), piece(after, no))
+
+    def letter(self, role: str) -> str:
+        """The state of a role in traces: a small letter; ``OTHER`` is the last, the start is empty."""
+        return chr(ord("a") + [*self.marks, OTHER].index(role)) if role else ""
 
     def step(self, state, role):
-        """The next state; null for a move that isn't allowed."""
-        move = F.lit(None).cast("string")
+        """The next state: its letter, a capital for a move that isn't allowed."""
+        to, allowed = F.lit(self.letter(OTHER)), F.lit(False)
+        for r in self.marks:
+            to = F.when(role == r, F.lit(self.letter(r))).otherwise(to)
         for at, roles in self.moves.items():
-            move = F.when((state == at) & role.isin(*roles), role).otherwise(move)
-        return move
+            allowed = allowed | (state == self.letter(at)) & to.isin(*[self.letter(r) for r in roles])
+        return F.when(allowed, to).otherwise(F.upper(to))
+
+
+#: The state of all roles that the template doesn't name.
+OTHER = "*"
 
 
 def format_chats(turns: DataFrame, template: Template | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
@@ -73,17 +87,18 @@ def format_chats(turns: DataFrame, template: Template | None = None, conv_col: s
     row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chats = turns.groupBy(F.col(conv_col).cast("long").alias("conv_id")).agg(F.sort_array(F.collect_list(row)).alias("turns"))
 
-    start = F.struct(F.lit("").alias("state"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("bad"))
-
     def run(acc, turn):
         to = t.step(acc["state"], turn["role"])
-        bad = F.coalesce(acc["bad"], F.when(to.isNull(), acc["at"]))
-        return F.struct(F.coalesce(to, turn["role"]).alias("state"), (acc["at"] + 1).alias("at"), bad.alias("bad"))
+        return F.struct(F.lower(to).alias("state"), F.concat(acc["trace"], to).alias("trace"))
 
-    end = F.aggregate("turns", start, run)
-    parts = F.flatten(F.transform("turns", t.segments))
-    out = chats.select("conv_id", parts.alias("segments"), end.alias("end"))
-    return out.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), (F.col("end.bad").isNull() & F.col("end.state").isin(*t.final)).alias("valid"), F.col("end.bad").alias("bad_turn"))
+    start = F.struct(F.lit("").alias("state"), F.lit("").alias("trace"))
+    traced = chats.select("conv_id", "turns", F.aggregate("turns", start, run).alias("end"))
+    traced = traced.select("conv_id", "turns", "end", F.split("end.trace", "").alias("states"))
+    parts = F.flatten(F.transform("turns", lambda turn, i: t.segments(turn, F.get("states", i))))
+    first_bad = F.regexp_instr("end.trace", F.lit("[A-Z]"))
+    bad = F.when(first_bad > 0, first_bad - 1)
+    out = traced.select("conv_id", parts.alias("segments"), (bad.isNull() & F.col("end.state").isin(*[t.letter(r) for r in t.final])).alias("valid"), bad.alias("bad_turn"))
+    return out.select("conv_id", "segments", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "valid", "bad_turn")
 
 
 def read_back(formatted, template: Template | None = None):
@@ -111,29 +126,35 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op6: what is read back from every formatted conversation, and from conversation -1, which tries the escapes."""
+    """op6: what is read back from every formatted conversation, and from conversation -1, which tries the escapes; and what the machine says of its order."""
     t = Template()
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
     out = format_chats(turns.unionByName(probe), t)
-    back = out.select("conv_id", "valid", read_back(F.col("formatted"), t).alias("turns"), F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: t.unescape(s["text"])).alias("losses"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    back = out.select("conv_id", "valid", F.col("bad_turn").cast("long").alias("bad_turn"), read_back(F.col("formatted"), t).alias("turns"), F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: t.unescape(s["text"])).alias("losses"), F.char_length("formatted").cast("long").alias("formatted_chars"))
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = F.array_join("losses", "")
-    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
+    return back.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole.cast("binary"), 256).alias("turns_sha256"), F.char_length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars", "valid", "bad_turn")
 
 
 def _oracle() -> str:
     t = Template()
     grown = " + ".join(f"(length(text) - length(replace(text, '{c}', ''))) // {len(c)}" for c in (*t.controls, "\\"))
     marks = " ".join(f"when '{r}' then {len(a) + len(b)}" for r, (a, b) in t.marks.items())
+    state = lambda c: f"case when {c} is null then '' when {c} in ({', '.join(map(repr, t.marks))}) then {c} else '{OTHER}' end"
+    allowed = " or ".join(f"came = '{a}' and went in ({', '.join(map(repr, roles))})" for a, roles in t.moves.items())
     return f"""
 with turns as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
-  union all select -1, 0, 'user', '{PROBE}' union all select -1, 1, 'assistant', '{PROBE}')
+  union all select -1, 0, 'user', '{PROBE}' union all select -1, 1, 'assistant', '{PROBE}'),
+steps as (select conv_id, role, place, last, {state("before")} as came, {state("role")} as went from (select *, row_number() over w - 1 as place, lag(role) over w as before,
+  row_number() over w = count(*) over (partition by conv_id) as last from turns window w as (partition by conv_id order by turn nulls first, role, text))),
+checked as (select conv_id, min(place) filter (not ({allowed})) as bad_turn, bool_or(last and went in ({', '.join(map(repr, t.final))})) as ends from steps group by conv_id)
+select t.*, c.bad_turn is null and c.ends as valid, c.bad_turn from (
 select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   sum(length(text) + {grown} + case role {marks} else {sum(map(len, t.other))} + length(role) end)::bigint as formatted_chars
-from turns group by conv_id
+from turns group by conv_id) t join checked c on c.conv_id is not distinct from t.conv_id
 """
 
 
