@@ -29,7 +29,7 @@ class NotRelational(SpecError):
 
 @dataclass
 class Keyed:
-    """Values of a parameterised stream: order columns, parameters, ``life``, ``value``; when instances are born and end."""
+    """Values of a parameterised stream: order columns, parameters, ``life``, ``value``; when instances are born and end (``ends``: order columns and parameters)."""
 
     df: DataFrame
     keys: list[str]
@@ -39,12 +39,23 @@ class Keyed:
     ends: DataFrame | None = None
 
 
+@dataclass
+class Unit:
+    """Columns of the cycle table about a spawned stream without parameters: whether it lives, where it is born and ends, and the number of its life."""
+
+    lives: str
+    births: str
+    ends: str | None
+    life: str | None
+
+
 @dataclass
 class Plan:
     spec: object
     analysis: Analysis
     trace: Trace
     keyed: dict[str, Keyed] = field(default_factory=dict)
+    units: dict[str, Unit] = field(default_factory=dict)
 
     def stream(self, name: str) -> DataFrame:
         """ts, kind, seq, parameters, value; one row per value."""
@@ -86,7 +97,14 @@ class Plan:
                     if rows is not None:
                         parts.append(rows.select(*when, F.lit(change).alias("change"), params.alias("params"), F.lit(None).cast("string").alias("value")))
             else:
-                parts.append(self.stream(s.name).select("ts", "kind", "seq", F.lit(s.name).alias("stream"), F.lit("Value").alias("change"), F.lit(None).cast("string").alias("params"), show.alias("value")))
+                what = lambda rows, change, value: rows.select("ts", "kind", "seq", F.lit(s.name).alias("stream"), F.lit(change).alias("change"), F.lit(None).cast("string").alias("params"), value.alias("value"))  # noqa: E731, B023
+                parts.append(what(self.stream(s.name), "Value", show))
+                if s.name in self.units:
+                    u = self.units[s.name]
+                    for change, c in (("Spawn", u.births), ("Close", u.ends)):
+                        if c is not None:
+                            marked = self.trace.df.filter(F.col(c)).select(F.col(TS).alias("ts"), F.col(KIND).alias("kind"), F.col(SEQ).alias("seq"))
+                            parts.append(what(marked, change, F.lit(None).cast("string")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -104,6 +122,7 @@ class Compiler:
         self.spec = parse(text)
         self.an = Analysis(self.spec)
         self.keyed: dict[str, Keyed] = {}
+        self.units: dict[str, Unit] = {}
         self.end = end
         missing = [s.name for s in self.spec.inputs if s.name not in events.columns]
         if missing:
@@ -116,7 +135,7 @@ class Compiler:
         if ordered:
             low, high, n = rows.agg(F.min(TS), F.max(TS), F.count(F.lit(1))).first()
             high = max(high or 0, self.end or 0)
-            self.low, self.end = low or 0, high
+            self.low, self.end, self.n = low or 0, high, n
             if periods:
                 rows = self._with_ticks(rows, periods, high)
             rows, sliced = slices(rows, TS, low or 0, high, n, *([slice_rows] if slice_rows else []))
@@ -142,11 +161,9 @@ class Compiler:
         for s in self.an.order:
             if s.params:
                 self._keyed(s)
-            elif s.spawn:
-                raise NotRelational(f"{s.name} is spawned without parameters")
             else:
                 self._plain(s)
-        return Plan(self.spec, self.an, self.trace, self.keyed)
+        return Plan(self.spec, self.an, self.trace, self.keyed, self.units)
 
     # activation
     def active(self, p: E) -> Column:
@@ -164,13 +181,46 @@ class Compiler:
         a, b = (self._fresh(x) for x in p.args)
         return a & b if p.value == "&&" else a | b
 
+    def _closing(self, s: Stream, env: Env) -> tuple[Column, Column, str]:
+        """Of closes that hit all instances: their marks, how many there were up to each cycle, and before it (they take effect after their cycle) as the name of a column."""
+        if s.close.pacing is not None and is_tick(s.close.pacing) and not (s.close.pacing.kind == "call" and s.close.pacing.value == "Global"):
+            raise NotRelational(f"{s.name} closes at deadlines that count from its spawn")
+        mark = self.active(self.an.pacing(s, s.close)) & F.coalesce(env.col(s.close.when), F.lit(False))
+        done = self.trace._new(F.when(mark, F.lit(1)))
+        total = self.trace.running(done, "sum")
+        return done, total, self.trace._named(F.coalesce(total, F.lit(0)) - F.coalesce(done, F.lit(0)))
+
+    def _unit(self, s: Stream, env: Env) -> Column:
+        """Whether the one instance of a spawned stream without parameters lives; a life begins with the first spawn after a close."""
+        own = {x.value for c in (s.spawn, s.close) if c for e in (c.when, c.value) if e for x in walk(e) if x.kind in ("name", "call")}
+        if s.name in own or any(is_tick(p := self.an.pacing(s, c)) and p.kind == "duration" for c in s.evals):
+            raise NotRelational(f"the life of {s.name} depends on its own value or clock")
+        if any(x.kind == "method" and x.args and target(x.args[0], self.spec) == s.name and x.value in ("offset", "aggregate") for o in self.spec.outputs for c in (o.spawn, *o.evals, o.close) if c for e in (c.when, c.value) if e for x in walk(e)):
+            raise NotRelational(f"the past of {s.name}, which is spawned without parameters")
+        spawns = self.active(self.an.pacing(s, s.spawn))
+        if s.spawn.when is not None:
+            spawns = spawns & F.coalesce(env.col(s.spawn.when), F.lit(False))
+        life, done = F.lit(0), None
+        if s.close is not None:
+            done, _, name = self._closing(s, env)
+            life = F.col(name)
+        n = self.trace.running_in(F.when(spawns, F.lit(1)), life)
+        lives = self.trace._named(F.coalesce(n > 0, F.lit(False)))
+        births = self.trace._named(F.when(F.col(lives) & spawns & (n == 1), F.lit(True)))
+        ends = None if done is None else self.trace._named(F.when(F.col(lives) & done.isNotNull(), F.lit(True)))
+        self.units[s.name] = Unit(lives, births, ends, None if s.close is None else name)
+        return F.col(lives)
+
     # plain streams
     def _plain(self, s: Stream) -> None:
         parts = []
         own_past = any(x.kind == "method" and x.value == "offset" and target(x.args[0], self.spec) == s.name for c in s.evals for e in (c.when, c.value) if e for x in walk(e))
         kind = self.an.stream_type(s)
         env = Env(self, self.trace, {})
+        lives = self._unit(s, env) if s.spawn else None
         if own_past:
+            if lives is not None:
+                raise NotRelational(f"{s.name} is spawned and reads its own past")
             if len(s.evals) > 1:
                 raise NotRelational(f"{s.name} reads its own past in several clauses")
             value = self._recursive(s, env)
@@ -179,6 +229,8 @@ class Compiler:
                 on = self.active(self.an.pacing(s, c))
                 if c.when is not None:
                     on = on & F.coalesce(env.col(c.when), F.lit(False))
+                if lives is not None:
+                    on = on & lives
                 v = env.col(c.value) if c.value is not None else F.lit(True)
                 parts.append(F.when(on, v))
             value = F.coalesce(*parts)
@@ -206,8 +258,6 @@ class Compiler:
         given = s.spawn.value.args if s.spawn.value.kind == "tuple" and len(names) > 1 else (s.spawn.value,)
         base = Env(self, self.trace, {})
         spawn_on = self.active(self.an.pacing(s, s.spawn))
-        if is_tick(self.an.pacing(s, s.spawn)):
-            raise NotRelational("periodic spawns")
         if s.spawn.when is not None:
             spawn_on = spawn_on & F.coalesce(base.col(s.spawn.when), F.lit(False))
         if len(s.evals) != 1:
@@ -221,22 +271,19 @@ class Compiler:
         spawns = self.trace._new(spawn_on)
         always = s.spawn.when is None and self._implies(pace, self.an.pacing(s, s.spawn))
         rest = self._own_key(c.when, names, given)
-        if rest is None:
-            raise NotRelational(f"{s.name} is evaluated for all instances")
+        for_all = rest is None  # no filter that names the own key: all instances are evaluated
+        if for_all:
+            rest = [] if c.when is None else [c.when]
         # all that rows need of the cycle table, then the key columns
         life, closes, every = F.lit(0), None, None
         if s.close is not None:
             every = self._closes_itself(s, c)
-            if every is not None and not always:
-                raise NotRelational(f"{s.name} closes itself and is spawned under a condition")
+            if every is not None and (for_all or not always):
+                raise NotRelational(f"{s.name} closes itself and is spawned under a condition or evaluated for all instances")
             if every is None:
                 if any(t == s.name or t in names for e in [s.close.when] for x in walk(e) for t in [x.value] if x.kind in ("name", "call")):
                     raise NotRelational(f"{s.name} is closed by its own value")
-                mark = self.active(self.an.pacing(s, s.close)) & F.coalesce(base.col(s.close.when), F.lit(False))
-                done = self.trace._new(F.when(mark, F.lit(1)))
-                total = self.trace.running(done, "sum")
-                # a close takes effect after its cycle
-                closes = self.trace._named(F.coalesce(total, F.lit(0)) - F.coalesce(done, F.lit(0)))
+                done, total, closes = self._closing(s, base)
                 life = F.col(closes)
         on = self.trace._new(self.active(pace))
         env = Env(self, self.trace, {})
@@ -247,11 +294,20 @@ class Compiler:
         for n, k in zip(names, key_cols, strict=True):
             df = df.withColumn(f"__k_{n}", k)
         keys = [f"__k_{n}" for n in names]
-        df = df.filter(F.col(keys[0]).isNotNull())
-        rows = Trace(df, ORDER, [*keys, "__life"])
+        some = df.filter(F.col(keys[0]).isNotNull())
+        lives = None
+        if for_all:
+            lives = some.filter(spawns).groupBy(*keys, "__life").agg(F.min(F.struct(*ORDER)).alias("__from"))
+            if closes is not None:
+                marks = self.trace.df.filter(done.isNotNull()).select(F.struct(*ORDER).alias("__next"), total.alias("__n"))
+                lives = lives.join(marks, F.col("__life") + 1 == F.col("__n"), "left")
+            else:
+                lives = lives.withColumn("__next", F.lit(None).cast(lives.schema["__from"].dataType))
+            some = self._during(self.trace.df.filter(on), lives.select(*keys, "__life", "__from", "__next"))
+        rows = Trace(some, ORDER, [*keys, "__life"])
         inner = Env(self, rows, dict(zip(names, keys, strict=True)), self.an.param_types(s), s.name)
         is_on = on
-        if not always:
+        if not always and not for_all:
             is_on = is_on & F.coalesce(rows.running(F.when(spawns, F.lit(True)), "or"), F.lit(False))
         for x in where:
             is_on = is_on & F.coalesce(inner.col(x), F.lit(False))
@@ -269,7 +325,8 @@ class Compiler:
         kept = rows.df.filter(v.isNotNull()).withColumn("value", v)
         named = [F.col(k).alias(n) for k, n in zip(keys, names, strict=True)]
         out = kept.select(*ORDER, SLICE, *named, F.col("__life").alias("life"), "value")
-        births = rows.df.filter(spawns).groupBy(*keys, "__life").agg(F.min(F.struct(*ORDER)).alias("b")).select("b.*", *named, F.col("__life").alias("life"))
+        first = rows.df.filter(spawns).groupBy(*keys, "__life").agg(F.min(F.struct(*ORDER)).alias("__from")) if lives is None else lives
+        births = first.select("__from.*", *named, F.col("__life").alias("life"))
         ends = None
         if every is not None:
             ends = out.filter(F.col("value") == every).select(*ORDER, *names)
@@ -278,6 +335,17 @@ class Compiler:
             ends = births.select(*names, "life").join(marks, F.col("life") + 1 == F.col("__n")).select(*ORDER, *names)
         self.keyed[s.name] = Keyed(out, names, closes, every, births, ends)
 
+    def _during(self, cycles: DataFrame, lives: DataFrame) -> DataFrame:
+        """Each cycle with each life (``__from``, ``__next``: its last cycle) it falls into: an equi-join by pages of time."""
+        pages = max(256, self.n // 100_000)
+        page = max(1, (self.end - self.low + 1) // pages)
+        at = lambda ts: F.call_function("div", ts - F.lit(self.low), F.lit(page))
+        last = at(F.coalesce(F.col(f"__next.{TS}"), F.lit(self.end)))
+        paged = lives.withColumn("__page", F.explode(F.sequence(at(F.col(f"__from.{TS}")), last)))
+        now = F.struct(*ORDER)
+        joined = cycles.withColumn("__page", at(F.col(TS))).join(paged, "__page")
+        return joined.filter((F.col("__from") <= now) & (F.col("__next").isNull() | (now <= F.col("__next")))).drop("__page", "__from", "__next")
+
     def _implies(self, p: E, q: E) -> bool:
         """Whether cycles of event-based pacing p are cycles of q."""
         if q.kind == "const" or p == q:
@@ -387,6 +455,8 @@ class Env:
     def outer(self, e: E, own: str, names: list[str]) -> E:
         """e with accesses of unkeyed streams made columns of the cycle table."""
         t = target(e.args[0], self.spec) if e.kind == "method" and e.args else target(e, self.spec)
+        if t in self.c.keyed and e.kind == "method" and any(x.kind == "name" and x.value in names for y in (*e.args[0].args, *(z for k, z in e.named if k == "over_instances" for _, z in z.named)) for x in walk(y)):
+            return e  # an access by the instance's own parameters
         if t is not None and t != own and t not in names and e.kind == "method" and e.value in ("hold", "offset", "get", "is_fresh", "aggregate"):
             rest = tuple((k, x) for k, x in e.named if k not in ("or",))
             bare = E("method", e.value, e.args, rest)
@@ -408,7 +478,7 @@ class Env:
             return F.col(self.params[e.value])
         if k in ("name", "call") and (t := target(e, self.spec)):
             if t in self.c.keyed:
-                return self._instance(t, e.args)
+                return self._instance(t, e.args) if self._constant(e.args) else self._instance_now(t, e.args)
             return F.col(_c(t))
         if k == "tuple":
             return F.struct(*[self.col(x).alias(f"_{i}") for i, x in enumerate(e.args)])
@@ -458,8 +528,36 @@ class Env:
             return self._aggregate(e)
         return self._function(name, e.args, e.named)
 
+    def _constant(self, args) -> bool:
+        return self.trace.keys is None and all(a.kind == "const" for a in args)
+
+    def _by_keys(self, t: str, args) -> dict[str, Column]:
+        """Columns of this trace with the parameters of the instance that is read."""
+        k = self.c.keyed[t]
+        if k.every or self.trace.keys is not None and not all(a.kind == "const" or a.kind == "name" and a.value in self.params for a in args):
+            raise NotRelational(f"an instance of {t} by values of an instance")
+        return {n: self.trace._new(self.col(a)) for n, a in zip(k.keys, args, strict=True)}
+
+    def _instance_now(self, t: str, args) -> Column:
+        """The present value of an instance by parameters that are values."""
+        k, keys = self.c.keyed[t], self._by_keys(t, args)
+        self.trace.n += 1
+        mark = f"__i{self.trace.n}_{len(self.trace.df.columns)}"
+        own = k.df.select(*ORDER, *[F.col(n).alias(f"{mark}_{n}") for n in keys], F.col("value").alias(mark))
+        self.trace.df = self.trace.df.withColumns({f"{mark}_{n}": c for n, c in keys.items()}).join(own, [*ORDER, *[f"{mark}_{n}" for n in keys]], "left").drop(*[f"{mark}_{n}" for n in keys])
+        return F.col(mark)
+
     def _held(self, x: E) -> Column:
         t = target(x, self.spec)
+        if t in self.c.keyed and not self._constant(x.args):
+            k = self.c.keyed[t]
+            return self.trace.latest(k.df, self._by_keys(t, x.args), {"value": "last"}, k.ends)["value"]
+        if t in self.c.units and self.c.units[t].life is not None:
+            if self.trace.keys is not None:
+                raise NotRelational(f"{t} closes")
+            life = F.col(self.c.units[t].life)
+            last = self.trace.running(F.when(self.col(x).isNotNull(), F.struct(life.alias("life"), self.col(x).alias("value"))), "last")
+            return F.when(last["life"] == life, last["value"])
         if t in self.c.keyed and self.c.keyed[t].closes is not None:
             k = self.c.keyed[t]
             v = self._instance(t, x.args, with_life=True)
@@ -532,10 +630,11 @@ class Env:
     def _aggregate(self, e: E) -> Column:
         name = aggregates.canonical(e.arg("using").value)
         x, kind = e.args[0], self.type(e.args[0])
-        if (n := e.arg("over_discrete")) is not None:
+        if (n := e.arg("over_discrete") or e.arg("over_exactly_discrete")) is not None:
             values = self.trace.recent(self.col(x), n.value)
             held = self.trace.running(values, "last")
-            return aggregates.when_empty(name, aggregates.over_array(name, held, kind), kind)
+            value = aggregates.when_empty(name, aggregates.over_array(name, held, kind), kind)
+            return value if e.arg("over_discrete") is not None else F.when(F.size(held) == n.value, value)
         if e.arg("over_instances") is not None:
             return self._instances(e, name, kind)
         exact = e.arg("over_exactly")
@@ -593,15 +692,25 @@ class Env:
         k = self.c.keyed[t]
         which = e.arg("over_instances")
         rows = k.df
+        of: dict[str, Column] = {}  # parameters of the instances that must be the caller's
         if which.kind == "call":
             body = which.named[0][1]
             names = body.value
+            condition, equal = self._grouping(body, t)
+            if self.trace.keys is not None and not equal:
+                raise NotRelational("an aggregate over instances for each instance")
+            of = {k.keys[names.index(n)]: F.col(self.params[p]) for n, p in equal}
+            body = E("lambda", names, (condition,))
             inner = Env(self.c, Trace(rows, ORDER, []), dict(zip(names, k.keys, strict=True)), self.an.param_types(self.spec[t]))
             if any(target(x, self.spec) and x.value not in names for x in walk(body.args[0])):
                 raise NotRelational("a condition on instances that reads streams")
             rows = rows.filter(inner.col(body.args[0]))
+        elif self.trace.keys is not None:
+            raise NotRelational("an aggregate over instances for each instance")
         self.trace.n += 1
         out = f"__a{self.trace.n}_{len(self.trace.df.columns)}"
+        if of and (which.value == "fresh" or name not in ("forall", "exists", "count", "sum", "avg")):
+            raise NotRelational(f"{name} over groups of instances")
         if which.value == "fresh":
             agg = rows.groupBy(*ORDER).agg(aggregates.over_rows(name, F.col("value"), kind, F.col(TS), F.col(TS)).alias(out))
             self.trace.df = self.trace.df.join(agg, ORDER, "left")
@@ -625,9 +734,13 @@ class Env:
             return self._validity(feed, k, name, kind, out)
         else:
             raise NotRelational(f"{name} over instances")
-        agg = feed.groupBy(*ORDER).agg(*[c.alias(f"{out}{n}") for n, c in delta.items()])
-        self.trace.df = self.trace.df.join(agg, ORDER, "left")
-        total = {n: self.trace.running(F.col(f"{out}{n}"), "sum") for n in delta}
+        agg = feed.groupBy(*ORDER, *of).agg(*[c.alias(f"{out}{n}") for n, c in delta.items()])
+        if of:
+            found = self.trace.latest(agg, of, {f"{out}{n}": "sum" for n in delta})
+            total = {n: found[f"{out}{n}"] for n in delta}
+        else:
+            self.trace.df = self.trace.df.join(agg, ORDER, "left")
+            total = {n: self.trace.running(F.col(f"{out}{n}"), "sum") for n in delta}
         if name == "forall":
             return F.coalesce(total["d"] == 0, F.lit(True))
         if name == "exists":
@@ -636,6 +749,29 @@ class Env:
             return F.when(total["n"] > 0, scalar.quotient(total["d"], total["n"], kind))
         return aggregates.when_empty(name, total["d"], kind)
 
+    def _grouping(self, body: E, t: str) -> tuple[E, list[tuple[str, str]]]:
+        """A condition on instances without its parts ``x == p`` for a parameter p of the caller, and these as (x, p)."""
+        rest, equal = [], []
+
+        def split(e: E):
+            if e.kind == "bin" and e.value == "&&":
+                for x in e.args:
+                    split(x)
+                return
+            if e.kind == "bin" and e.value == "==" and all(x.kind == "name" for x in e.args):
+                a, b = (x.value for x in e.args)
+                a, b = (a, b) if a in body.value else (b, a)
+                if a in body.value and b in self.params and b not in body.value:
+                    equal.append((a, b))
+                    return
+            rest.append(e)
+
+        split(body.args[0])
+        out = rest[0] if rest else E("const", True)
+        for e in rest[1:]:
+            out = E("bin", "&&", (out, e))
+        return out, equal
+
     def _validity(self, feed: DataFrame, k: Keyed, name: str, kind, out: str) -> Column:
         """For what can't be taken back: every value holds from its cycle to the instance's next; values that hold at an evaluation, by pages of time."""
         page = max(1, (self.c.end - self.c.low + 1) // 256)

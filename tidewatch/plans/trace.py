@@ -87,6 +87,35 @@ class Trace:
         earlier = F.when(F.col(name)["last"] == part, F.col(name)["sum"])
         return self._new(F.coalesce(earlier + local, earlier, local))
 
+    def latest(self, values: DataFrame, keys: dict[str, Column], columns: dict[str, str], ends: DataFrame | None = None) -> dict[str, Column]:
+        """For every row the last values, or running sums, of another relation with the row's key, up to the row's cycle.
+
+        values: order columns, keys and ``columns`` (name: "last" or "sum"); keys: their names,
+        with the row's own columns; ends: order columns and keys of when a last value ends,
+        from the next cycle on. Both relations are united and partitioned by the key, so
+        neither is joined with the other's range. Rows without a key are spread.
+        """
+        self.n += 1
+        mark = f"__l{self.n}_{len(self.df.columns)}"
+        own = self.df.withColumns({f"{mark}_{k}": c for k, c in keys.items()}).withColumn(f"{mark}_tag", F.lit(1))
+        parts = [f"{mark}_{k}" for k in keys]
+        named = {c: f"{mark}_v_{c}" for c in columns}
+        held = lambda c, how: F.struct(F.col(c).alias("v")) if how == "last" else F.col(c)
+        other = values.select(*self.order, *[F.col(k).alias(f"{mark}_{k}") for k in keys], *[held(c, how).alias(named[c]) for c, how in columns.items()], F.lit(0).alias(f"{mark}_tag"))
+        both = own.unionByName(other, allowMissingColumns=True)
+        if ends is not None:
+            empty = [F.struct(F.lit(None).cast(values.schema[c].dataType).alias("v")).alias(named[c]) for c in columns]
+            both = both.unionByName(ends.select(*self.order, *[F.col(k).alias(f"{mark}_{k}") for k in keys], *empty, F.lit(2).alias(f"{mark}_tag")), allowMissingColumns=True)
+        lost = F.lit(False)
+        for p in parts:
+            lost = lost | F.col(p).isNull()
+        both = both.withColumn(f"{mark}_spread", F.when(lost, F.pmod(F.xxhash64(*self.order), F.lit(256))).otherwise(F.lit(0).cast("bigint")))
+        w = Window.partitionBy(*parts, f"{mark}_spread").orderBy(*self.order, f"{mark}_tag").rowsBetween(Window.unboundedPreceding, 0)
+        over = {c: (F.last(named[c], ignorenulls=True) if how == "last" else F.sum(named[c])).over(w) for c, how in columns.items()}
+        both = both.withColumns({f"{mark}_o_{c}": x for c, x in over.items()}).filter(F.col(f"{mark}_tag") == 1)
+        self.df = both.drop(*parts, *named.values(), f"{mark}_tag", f"{mark}_spread")
+        return {c: F.col(f"{mark}_o_{c}")["v"] if how == "last" else F.col(f"{mark}_o_{c}") for c, how in columns.items()}
+
     def recent(self, x: Column, n: int) -> Column:
         """On rows where x isn't null: the array of the last n such values, oldest first; else null."""
         x = self._new(x)
