@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..streaming.fold import fold
 from .compiler import SEQ, TS, Plan, compile_spec
 
 INPUTS = """input v: Int64
@@ -89,13 +90,13 @@ def _of_ticks(spec: str, *names: str):
     return run
 
 
-def _keyed(spec: str, name: str, ticks: bool = False):
-    """A parameterised stream, by event_id or time and parameters."""
+def _keyed(spec: str, name: str, ticks: bool | None = False):
+    """A parameterised stream, by event_id or time and parameters. ticks: None for event streams of specifications with deadlines."""
 
     def run(spark, sf_dir):
-        start = origin(spark, sf_dir) if ticks else None
+        start = None if ticks is False else origin(spark, sf_dir)
         raw = spark.read.parquet(f"{sf_dir}/events.parquet")
-        rows = _inputs(raw, _micros(F.col("ts")) - _micros(F.lit(start))) if ticks else untimed(spark, sf_dir)
+        rows = untimed(spark, sf_dir) if ticks is False else _inputs(raw, _micros(F.col("ts")) - _micros(F.lit(start)))
         plan = compile_spec(INPUTS + spec, rows)
         keys = plan.keyed[name].keys
         df = plan.stream(name)
@@ -104,6 +105,16 @@ def _keyed(spec: str, name: str, ticks: bool = False):
     return run
 
 
+def _folded(spec: str, name: str):
+    """An event stream with whole numbers, as an ordered fold."""
+
+    def run(spark, sf_dir):
+        changes = fold(INPUTS + spec, untimed(spark, sf_dir))
+        return changes.filter((F.col("stream") == name) & (F.col("change") == "Value")).select(F.col("seq").alias("event_id"), F.col("value").cast("bigint").alias(name))
+
+    return run
+
+
 def _flagship(spark, sf_dir: str) -> DataFrame:
     return _keyed(FLAGSHIP, "busy", ticks=True)(spark, sf_dir)
 
@@ -196,6 +207,7 @@ def _catalogue() -> dict[str, tuple]:
     run3 = _of_events("output o := value.aggregate(over_discrete: 10, using: var)\noutput p := value.aggregate(over_discrete: 10, using: sd)", "o", "p")
     add("disc_var", lambda s, d: run3(s, d).select("event_id", F.round(F.col("o") + OFF_TIES, 6).alias("o"), F.round(F.col("p") + OFF_TIES, 6).alias("p")), e(f"round(var_pop(value) {rows} + {OFF_TIES}, 6) as o, round(stddev_pop(value) {rows} + {OFF_TIES}, 6) as p"))
     add("disc_sparse", _of_events("output o @v := err.aggregate(over_discrete: 3, using: sum)", "o"), f"{Q}, r as (select rn, sum(err) over (order by rn rows between 2 preceding and current row) as s from q where err is not null) select event_id, cast(coalesce(last_value(s ignore nulls) over (order by q.rn), 0) as bigint) as o from q left join r on r.rn = q.rn")
+    add("disc_wait", _of_events("output o := v.aggregate(over_exactly_discrete: 10, using: sum).defaults(to: -1)", "o"), e(f"case when rn >= 10 then cast(sum(v) {rows} as bigint) else -1 end as o"))
     add("disc_med", _of_events("output o := v.aggregate(over_discrete: 5, using: med).defaults(to: 0)", "o"), f"{Q}, w as (select event_id, list_sort(list(v) over (order by rn rows between 4 preceding and current row)) as l, count(v) over (order by rn rows between 4 preceding and current row) as n from q) select event_id, {pct(50)} as o from w")
 
     # parameterised streams
@@ -214,6 +226,16 @@ def _catalogue() -> dict[str, tuple]:
     add("param_window_both", _keyed(both.format("Global(6h)", "count"), "w", ticks=True), f"{Q}{_tick(6)}, s as (select user_id as u, min(ts) as born from q group by user_id) select t, u, count(v) as value from tick join s on born <= t left join q on q.user_id = u and q.ts > t - interval 24 hour and q.ts <= t group by t, u")
     add("param_local_tick", _keyed(both.format("6h", "sum"), "w", ticks=True), f"{Q}, s as (select user_id as u, min(ts) as born from q group by user_id), lt as (select u, born, born + n * interval 6 hour as t from s, range(1, 1000) r(n) where born + n * interval 6 hour <= (select max(ts) from q)) select t, u, cast(coalesce(sum(v), 0) as bigint) as value from lt left join q on q.user_id = u and q.ts > t - interval 24 hour and q.ts <= t and q.ts >= born group by t, u")
 
+    first = lambda s, d: compile_spec(INPUTS + "output b(u) spawn with user_id eval when u == user_id with v", untimed(s, d)).changes().filter("change = 'Spawn'").select(F.col("seq").alias("event_id"), F.col("params").cast("bigint").alias("u"))
+    add("param_first_spawn", first, f"{Q} select event_id, user_id as u from (select *, row_number() {per} as k from q) where k = 1")
+    add("param_lag", _keyed("output b(u) spawn with user_id eval when u == user_id with v\noutput c(u) spawn with user_id eval when u == user_id with b(u).offset(by: -1).defaults(to: 0)", "c"), k(f"coalesce(lag(v) {per}, 0)"))
+    add("param_lookup_value", _of_events("output b(u) spawn with user_id eval when u == user_id with b(u)[-1].defaults(to: 0) + v\noutput o @v := b(user_id % 7).hold(or: -1)", "o"), f"{Q}, s as (select user_id, rn, cast(sum(v) {per} as bigint) as total from q) select event_id, coalesce(s.total, -1) as o from q asof left join s on s.user_id = q.user_id % 7 and s.rn <= q.rn")
+    add("param_all_instances", _keyed("output d(e) spawn with event_type eval @v when v > 20000 with v", "d"), f"{Q}, s as (select event_type as e, min(rn) as born from q group by event_type) select event_id, e, v as value from q join s on born <= rn where v > 20000")
+    add("param_timed_close", _keyed("output b(u) spawn with user_id close @Global(24h) when v.hold(or: 0) > 5000 eval when u == user_id with b(u)[-1].defaults(to: 0) + v", "b", ticks=None), f"""{Q}{_tick(24)}, c as (select t from tick where (select arg_max(v, rn) from q e where e.ts <= tick.t) > 5000),
+        s as (select q.*, (select count(*) from c where c.t < q.ts) as seg from q) select event_id, user_id as u, cast(sum(v) over (partition by user_id, seg order by rn) as bigint) as value from s""")
+    add("unit_spawn", _of_events('output s spawn when event_type == "signup" close @v when event_type == "error" eval @v with v', "s"), f"""{Q}, l as (select *, count(*) filter (event_type = 'error') over (order by rn rows between unbounded preceding and 1 preceding) as life from q)
+        select event_id, v as s from (select *, count(*) filter (event_type = 'signup') over (partition by life order by rn) as born from l) where born > 0""")
+
     # instance aggregations
     b = "output b(u) spawn with user_id eval when u == user_id with v\n"
     feed = f"{Q}, f as (select *, lag(v) over (partition by user_id order by rn) as old from q)"
@@ -239,6 +261,12 @@ def _catalogue() -> dict[str, tuple]:
     add("inst_where", _of_events(f"{b}output o @v := b.aggregate(over_instances: all(where: (u) => u > 5), using: sum)", "o"), f"{feed} select event_id, cast(coalesce(sum(v - coalesce(old, 0)) filter (user_id > 5) over (order by rn), 0) as bigint) as o from f")
     add("inst_distinct_users", _of_events("output s(u) spawn with user_id eval when u == user_id with true\noutput o @v := s.aggregate(over_instances: all, using: count)", "o"), f"{feed} select event_id, count(*) filter (old is null) over (order by rn) as o from f")
 
+    group = "output k(e, u) spawn with (event_type, user_id) eval when e == event_type && u == user_id with v\noutput g(e) spawn with event_type eval when e == event_type with k.aggregate(over_instances: all(where: (x, y) => x == e), using: sum)"
+    add("inst_group_by", _keyed(group, "g"), f"{Q}, f as (select *, lag(v) over (partition by event_type, user_id order by rn) as old from q) select event_id, event_type as e, cast(sum(v - coalesce(old, 0)) over (partition by event_type order by rn) as bigint) as value from f")
+    add("fold_general", _folded("output x := (x[-1].defaults(to: 0) * 3 + v) % 1000", "x"), f"""with recursive p(k, up, down) as (select 0, 1, 1 union all select k + 1, up * 3 % 1000, down * 667 % 1000 from p where k < 99), {Q.removeprefix("with ")},
+        s as (select q.*, sum(v % 1000 * p.down) over (order by rn) as total from q join p on p.k = rn % 100)
+        select event_id, cast(total % 1000 * p.up % 1000 as bigint) as x from s join p on p.k = rn % 100""")
+
     # representations
     add("changes_feed", lambda s, d: compile_spec(INPUTS + "output b(u) spawn with user_id eval when u == user_id with v\noutput big eval when v > 10000 with v", untimed(s, d)).changes().select(F.col("seq").alias("event_id"), "stream", "change", "params", "value"), f"""{Q}, f as (select *, row_number() over (partition by user_id order by rn) as k from q)
         select event_id, 'b' as stream, 'Value' as change, user_id::varchar as params, v::varchar as value from f union all select event_id, 'b', 'Spawn', user_id::varchar, null from f where k = 1 union all select event_id, 'big', 'Value', null, v::varchar from f where v > 10000""")
@@ -282,11 +310,32 @@ def _lineitem(spark, sf_dir: str) -> DataFrame:
 LINEITEM = "select l_orderkey, l_linenumber, l_suppkey, cast(sum(cast(l_quantity as bigint)) over (partition by l_suppkey order by l_shipdate, l_orderkey, l_linenumber rows unbounded preceding) as bigint) as running from lineitem"
 
 
+def _customers(spark, sf_dir: str) -> DataFrame:
+    """Orders with the balance that their customer has at the time: two kinds of events, and instances by a value of the other kind."""
+    read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cents = lambda c: F.round(F.col(c) * 100).cast("bigint")
+    start = origin(spark, sf_dir, "orders", "o_orderdate")
+    states = read("customer").select(F.lit(0).cast("bigint").alias(TS), F.col("c_custkey").alias(SEQ), F.col("c_custkey").alias("cust"), cents("c_acctbal").alias("bal"))
+    orders = read("orders").select(((_micros(F.col("o_orderdate")) - _micros(F.lit(start))) * 1000 + 1).alias(TS), F.col("o_orderkey").alias(SEQ), F.col("o_custkey").alias("buyer"), cents("o_totalprice").alias("price"))
+    spec = """input cust: Int64
+    input bal: Int64
+    input buyer: Int64
+    input price: Int64
+    output state(c) spawn with cust eval when c == cust with bal
+    output left @(buyer && price) := state(buyer).hold(or: 0) - price"""
+    plan = compile_spec(spec, states.unionByName(orders, allowMissingColumns=True))
+    return plan.stream("left").select(F.col("seq").alias("o_orderkey"), F.col("value").alias("left_over"))
+
+
+CUSTOMERS = """select o_orderkey, coalesce(cast(round(c_acctbal * 100) as bigint), 0) - cast(round(o_totalprice * 100) as bigint) as left_over
+from orders left join customer on c_custkey = o_custkey"""
+
+
 def queries():
     found = {name: run for name, (run, _) in _catalogue().items()}
-    return {**found, "orders_daily_window": _orders, "lineitem_running_qty": _lineitem}
+    return {**found, "orders_daily_window": _orders, "lineitem_running_qty": _lineitem, "customer_enrich_asof": _customers}
 
 
 def oracle_sql():
     found = {name: sql for name, (_, sql) in _catalogue().items()}
-    return {**found, "orders_daily_window": ORDERS, "lineitem_running_qty": LINEITEM}
+    return {**found, "orders_daily_window": ORDERS, "lineitem_running_qty": LINEITEM, "customer_enrich_asof": CUSTOMERS}

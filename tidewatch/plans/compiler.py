@@ -37,6 +37,7 @@ class Keyed:
     every: int | None = None  # instances close at this many values
     births: DataFrame | None = None
     ends: DataFrame | None = None
+    given: tuple = ()  # what instances are spawned with
 
 
 @dataclass
@@ -306,6 +307,7 @@ class Compiler:
             some = self._during(self.trace.df.filter(on), lives.select(*keys, "__life", "__from", "__next"))
         rows = Trace(some, ORDER, [*keys, "__life"])
         inner = Env(self, rows, dict(zip(names, keys, strict=True)), self.an.param_types(s), s.name)
+        inner.given = () if for_all else tuple(given)
         is_on = on
         if not always and not for_all:
             is_on = is_on & F.coalesce(rows.running(F.when(spawns, F.lit(True)), "or"), F.lit(False))
@@ -333,7 +335,7 @@ class Compiler:
         elif closes is not None:  # the n-th close ends what was born after the one before it
             marks = self.trace.df.filter(done.isNotNull()).select(*ORDER, total.alias("__n"))
             ends = births.select(*names, "life").join(marks, F.col("life") + 1 == F.col("__n")).select(*ORDER, *names)
-        self.keyed[s.name] = Keyed(out, names, closes, every, births, ends)
+        self.keyed[s.name] = Keyed(out, names, closes, every, births, ends, () if for_all else tuple(given))
 
     def _during(self, cycles: DataFrame, lives: DataFrame) -> DataFrame:
         """Each cycle with each life (``__from``, ``__next``: its last cycle) it falls into: an equi-join by pages of time."""
@@ -446,6 +448,7 @@ class Env:
     def __init__(self, compiler: Compiler, trace: Trace, params: dict[str, str], param_types: dict | None = None, own: str | None = None):
         self.c, self.trace, self.params, self.types, self.own = compiler, trace, params, param_types or {}, own
         self.spec, self.an = compiler.spec, compiler.an
+        self.given: tuple = ()
 
     def type(self, e: E):
         if e.kind == "column":
@@ -523,6 +526,7 @@ class Env:
         if name == "is_fresh":
             return self.col(x).isNotNull()
         if name == "offset":
+            self._own_rows(x)
             return self.trace.previous(self.col(x), -(e.arg("by") or e.args[1]).value)
         if name == "aggregate":
             return self._aggregate(e)
@@ -531,6 +535,14 @@ class Env:
     def _constant(self, args) -> bool:
         return self.trace.keys is None and all(a.kind == "const" for a in args)
 
+    def _own_rows(self, x: E) -> None:
+        """Earlier values of an instance by values can be counted only where every one of them has a row here: in instances that are spawned with the same."""
+        t = target(x, self.spec)
+        if t in self.c.keyed and not self._constant(x.args):
+            k = self.c.keyed[t]
+            if not k.given or k.given != self.given or [a.value for a in x.args] != list(self.params) or k.closes is not None or k.every:
+                raise NotRelational(f"the past of an instance of {t} by values")
+
     def _by_keys(self, t: str, args) -> dict[str, Column]:
         """Columns of this trace with the parameters of the instance that is read."""
         k = self.c.keyed[t]
@@ -631,6 +643,7 @@ class Env:
         name = aggregates.canonical(e.arg("using").value)
         x, kind = e.args[0], self.type(e.args[0])
         if (n := e.arg("over_discrete") or e.arg("over_exactly_discrete")) is not None:
+            self._own_rows(x)
             values = self.trace.recent(self.col(x), n.value)
             held = self.trace.running(values, "last")
             value = aggregates.when_empty(name, aggregates.over_array(name, held, kind), kind)
