@@ -79,6 +79,22 @@ def over_rows(name: str, x: Column, kind, order: Column | None = None, time: Col
     return rank_percentile(F.sort_array(F.collect_list(x)), int(name[4:]), kind)
 
 
+#: What ``over_frame`` knows.
+FRAMED = ("count", "sum", "avg", "min", "max", "last", "var", "sd", "forall", "exists")
+
+
+def over_frame(name: str, x: Column, kind, w) -> Column:
+    """Over the frame of a window in which no value is null (names of FRAMED)."""
+    plain = {"count": F.count, "min": F.min, "max": F.max, "var": F.var_pop, "sd": F.stddev_pop, "forall": F.bool_and, "exists": F.bool_or, "last": F.last}
+    if name in plain:
+        return plain[name](x).over(w)
+    if name == "sum":
+        return (F.count_if(x) if kind == "bool" else F.sum(x)).over(w)
+    if name == "avg":
+        return quotient(F.sum(x).over(w), F.count(x).over(w), kind) if kind in INTS else F.avg(x).over(w)
+    raise SpecError(f"{name} over a frame")
+
+
 def integral(points: Column) -> Column:
     """Trapezoids between neighbouring points (t in nanoseconds, x), in seconds."""
     start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("bigint").alias("t"), F.lit(None).cast("double").alias("x"))

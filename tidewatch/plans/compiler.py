@@ -422,17 +422,24 @@ class Compiler:
             values = source.df.select(F.col(TS).alias("__t"), *[F.col(k).alias(n) for k, n in on.items()], F.struct(*ORDER).alias("__o"), F.col("value").alias("__v"))
         else:
             raise NotRelational("periodic windows of instances over unkeyed streams")
-        # each value goes to the ticks whose window it is in
+        # each value goes to the ticks whose window it is in; values that merge, as partial results of their pane
         values = values.join(born.select(*names, F.col(f"born.{TS}").alias("__born")), names)
-        if local:
-            k0 = F.greatest(F.lit(1), F.ceil((F.col("__t") - F.col("__born")) / period))
-            at = F.col("__born") + k0.cast("bigint") * period
+        pane = F.ceil((F.col("__t") - (F.col("__born") if local else F.lit(0))) / period).cast("bigint")
+        values = values.withColumn("__pane", F.greatest(F.lit(0), pane)).filter((F.col("__t") >= F.col("__born")) if local else F.lit(True))
+        base = F.col("__born") if local else F.lit(0).cast("bigint")
+        # what comes at the start itself is a pane of its own, before the first tick
+        start = base + F.greatest(F.lit(1), F.col("__pane")) * period
+        parts = aggregates.partials(name, F.col("__v"), kind, F.col("__o")) if span % period == 0 else None
+        if parts is not None:
+            hits = values.groupBy(*names, "__born", "__pane").agg(*[p.alias(c) for c, p in parts.items()])
+            last = F.least(F.lit(self.end), base + F.col("__pane") * period + span - period)
         else:
-            at = F.greatest(F.lit(1), F.ceil(F.col("__t") / period)).cast("bigint") * period
-        values = values.withColumn("__at", at).filter((F.col("__t") >= F.col("__born")) if local else F.lit(True))
-        last = F.least(F.lit(self.end), F.col("__t") + span - 1)
-        hits = values.filter(F.col("__at") <= last).select(*names, "__t", "__o", "__v", F.explode(F.sequence("__at", last, F.lit(period))).alias(TS))
-        agg = hits.groupBy(*names, TS).agg(aggregates.over_rows(name, F.col("__v"), kind, F.col("__o"), F.col("__t")).alias("value"))
+            hits, last = values, F.least(F.lit(self.end), F.col("__t") + span - 1)
+        kept = list(parts) if parts is not None else ["__t", "__o", "__v"]
+        hits = hits.withColumn("__start", start).withColumn("__last", last).filter("__start <= __last")
+        hits = hits.select(*names, *kept, F.explode(F.sequence("__start", "__last", F.lit(period))).alias(TS))
+        whole = aggregates.merged(name, kind, F.col) if parts is not None else aggregates.over_rows(name, F.col("__v"), kind, F.col("__o"), F.col("__t"))
+        agg = hits.groupBy(*names, TS).agg(whole.alias("value"))
         out = grid.join(agg, [*names, TS], "left")
         value = aggregates.when_empty(name, F.col("value"), kind)
         if w is not inner:
@@ -644,6 +651,13 @@ class Env:
         x, kind = e.args[0], self.type(e.args[0])
         if (n := e.arg("over_discrete") or e.arg("over_exactly_discrete")) is not None:
             self._own_rows(x)
+            framed = None
+            if name in aggregates.FRAMED:
+                framed = self.trace.frame(self.col(x), n.value, lambda v, w: aggregates.over_frame(name, v, kind, w))
+            if framed is not None:
+                held = self.trace._new(framed)
+                value = aggregates.when_empty(name, held["v"], kind)
+                return value if e.arg("over_discrete") is not None else F.when(held["n"] == n.value, value)
             values = self.trace.recent(self.col(x), n.value)
             held = self.trace.running(values, "last")
             value = aggregates.when_empty(name, aggregates.over_array(name, held, kind), kind)
@@ -682,8 +696,11 @@ class Env:
         out = f"__w{self.trace.n}_{len(self.trace.df.columns)}"
         first = F.greatest(F.lit(1), F.ceil(F.col(TS) / step)).cast("bigint") * step
         if parts is not None:
-            panes = rows.groupBy(first.alias("__pane")).agg(*[p.alias(c) for c, p in parts.items()]).filter(F.col("__pane") <= end // step * step)
-            hits = panes.select(*parts, F.explode(F.sequence("__pane", F.least(F.lit(end // step * step), F.col("__pane") + span - step), F.lit(step))).alias(TS)) if end >= step else None
+            # what comes at the start itself is a pane of its own, before the first tick
+            panes = rows.groupBy((F.greatest(F.lit(0), F.ceil(F.col(TS) / step)).cast("bigint") * step).alias("__pane")).agg(*[p.alias(c) for c, p in parts.items()])
+            last = F.least(F.lit(end // step * step), F.col("__pane") + span - step)
+            panes = panes.withColumn("__first", F.greatest(F.col("__pane"), F.lit(step))).withColumn("__last", last).filter("__first <= __last")
+            hits = panes.select(*parts, F.explode(F.sequence("__first", "__last", F.lit(step))).alias(TS)) if end >= step else None
             agg = hits.groupBy(TS).agg(aggregates.merged(name, kind, F.col).alias(out)) if hits is not None else None
         else:
             last = F.least(F.lit(end), F.col(TS) + span - 1)

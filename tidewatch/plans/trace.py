@@ -8,6 +8,8 @@ joined back. Keyed relations are partitioned by their key instead.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,14 +142,25 @@ class Trace:
             local = F.slice(whole, F.greatest(F.lit(1), F.size(whole) - n + 1), F.lit(n))
         return self._new(F.when(fresh, local))
 
+    def frame(self, x: Column, n: int, over: Callable) -> Column | None:
+        """over(x, window) of the last n values of x, as of its last value; None where values are carried over slices (see ``recent``)."""
+        if self.sliced and self.keys is None:
+            return None
+        x = self._new(x)
+        w = self.window(x.isNotNull())
+        value = F.struct(over(x, w.rowsBetween(-(n - 1), 0)).alias("v"), F.count(x).over(w.rowsBetween(-(n - 1), 0)).alias("n"))
+        fresh = self._new(F.when(x.isNotNull(), value))
+        return F.last(fresh, ignorenulls=True).over(self.window().rowsBetween(Window.unboundedPreceding, 0))
+
     def previous(self, x: Column, n: int) -> Column:
         """The n-th value before the present one; where x is null, counted from the last value on."""
-        if n == 1 and not (self.sliced and self.keys is None):
+        if not (self.sliced and self.keys is None):
             x = self._new(x)
             fresh = x.isNotNull()
-            lag = F.lag(x).over(self.window(fresh))
-            held = F.last(x, ignorenulls=True).over(self.window().rowsBetween(Window.unboundedPreceding, 0))
-            return self._new(F.when(fresh, lag).otherwise(held))
+            of_last = x if n == 1 else F.lag(x, n - 1).over(self.window(fresh))
+            held = self._new(F.when(fresh, F.struct(F.lag(x, n).over(self.window(fresh)).alias("fresh"), of_last.alias("later"))))
+            last = F.last(held, ignorenulls=True).over(self.window().rowsBetween(Window.unboundedPreceding, 0))
+            return self._new(F.when(fresh, held["fresh"]).otherwise(last["later"]))
         values = self.recent(x, n + 1)
         held = self.running(values, "last")
         fresh = values.isNotNull()
