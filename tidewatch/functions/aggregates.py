@@ -153,3 +153,11 @@ def merged(name: str, kind, col) -> Column:
     if name == "last":
         return F.max(col("l"))["v"]
     return {"count": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "forall": F.bool_and, "exists": F.bool_or}[name](col("v"))
+
+
+def merged_variance(parts: str, name: str) -> Column:
+    """Variance or deviation from an array of (count, mean, sum of squares about the mean) of groups apart."""
+    n = F.aggregate(parts, F.lit(0).cast("bigint"), lambda a, x: a + x["__n"])
+    mean = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["__n"] * x["__m"]) / n
+    var = F.aggregate(parts, F.lit(0.0), lambda a, x: a + x["__q"] + x["__n"] * (x["__m"] - mean) * (x["__m"] - mean)) / n
+    return F.when(n > 0, F.sqrt(var) if name == "sd" else var)

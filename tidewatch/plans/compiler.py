@@ -9,6 +9,7 @@ stream is a relation with its parameters as columns. What has no relational form
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -331,10 +332,10 @@ class Compiler:
         births = first.select("__from.*", *named, F.col("__life").alias("life"))
         ends = None
         if every is not None:
-            ends = out.filter(F.col("value") == every).select(*ORDER, *names)
+            ends = out.filter(F.col("value") == every).select(*ORDER, *names, "life")
         elif closes is not None:  # the n-th close ends what was born after the one before it
             marks = self.trace.df.filter(done.isNotNull()).select(*ORDER, total.alias("__n"))
-            ends = births.select(*names, "life").join(marks, F.col("life") + 1 == F.col("__n")).select(*ORDER, *names)
+            ends = births.select(*names, "life").join(marks, F.col("life") + 1 == F.col("__n")).select(*ORDER, *names, "life")
         self.keyed[s.name] = Keyed(out, names, closes, every, births, ends, () if for_all else tuple(given))
 
     def _during(self, cycles: DataFrame, lives: DataFrame) -> DataFrame:
@@ -721,7 +722,10 @@ class Env:
             raise NotRelational("instances of a stream that isn't keyed")
         k = self.c.keyed[t]
         which = e.arg("over_instances")
-        rows = k.df
+        # values and ends (of no value, in force from the next cycle on) of instances
+        rows = k.df.select(*ORDER, *k.keys, "life", "value", F.lit(0).alias("__tag"))
+        if k.ends is not None and which.value != "fresh":
+            rows = rows.unionByName(k.ends.select(*ORDER, *k.keys, "life", F.lit(1).alias("__tag")), allowMissingColumns=True)
         of: dict[str, Column] = {}  # parameters of the instances that must be the caller's
         if which.kind == "call":
             body = which.named[0][1]
@@ -745,32 +749,39 @@ class Env:
             agg = rows.groupBy(*ORDER).agg(aggregates.over_rows(name, F.col("value"), kind, F.col(TS), F.col(TS)).alias(out))
             self.trace.df = self.trace.df.join(agg, ORDER, "left")
             return aggregates.when_empty(name, F.col(out), kind)
-        if k.closes is not None or k.every:
-            raise NotRelational("aggregates over instances that close")
-        last = F.lag("value").over(Window.partitionBy(*k.keys).orderBy(*ORDER))
-        feed = rows.withColumn("__old", last)
+        if of and k.ends is not None:
+            raise NotRelational("groups of instances that close")
+        feed = rows.withColumn("__old", F.lag("value").over(Window.partitionBy(*k.keys, "life").orderBy(*ORDER, "__tag")))
         one = lambda c: F.when(c.isNull(), F.lit(0)).otherwise(F.lit(1))
         add = lambda now, old: (F.coalesce(now, F.lit(0)) - F.coalesce(old, F.lit(0)))
         v, old = F.col("value"), F.col("__old")
         if name in ("forall", "exists"):
             bad = name == "forall"
             hit = lambda c: F.when(c == F.lit(not bad), F.lit(1)).otherwise(F.lit(0))
-            delta = {"d": F.sum(hit(v) - hit(old))}
+            delta = {"d": hit(v) - hit(old)}
         elif name == "count":
-            delta = {"d": F.sum(one(v) - one(old))}
+            delta = {"d": one(v) - one(old)}
         elif name in ("sum", "avg"):
-            delta = {"d": F.sum(add(v, old)), "n": F.sum(one(v) - one(old))}
+            delta = {"d": add(v, old), "n": one(v) - one(old)}
         elif name in ("min", "max", "var", "sd", "product") or name.startswith("pctl"):
-            return self._validity(feed, k, name, kind, out)
+            return self._validity(rows, k, name, kind, out)
         else:
             raise NotRelational(f"{name} over instances")
-        agg = feed.groupBy(*ORDER, *of).agg(*[c.alias(f"{out}{n}") for n, c in delta.items()])
+        now, later = F.col("__tag") == 0, F.col("__tag") == 1
+        sums = [F.sum(F.when(now, c)).alias(f"{out}{n}") for n, c in delta.items()]
+        if k.ends is not None:
+            sums += [F.sum(F.when(later, c)).alias(f"{out}{n}_later") for n, c in delta.items()]
+        agg = feed.groupBy(*ORDER, *of).agg(*sums)
         if of:
             found = self.trace.latest(agg, of, {f"{out}{n}": "sum" for n in delta})
             total = {n: found[f"{out}{n}"] for n in delta}
         else:
             self.trace.df = self.trace.df.join(agg, ORDER, "left")
             total = {n: self.trace.running(F.col(f"{out}{n}"), "sum") for n in delta}
+            if k.ends is not None:
+                for n in delta:
+                    after = F.coalesce(self.trace.running(F.col(f"{out}{n}_later"), "sum") - F.coalesce(f"{out}{n}_later", F.lit(0)), F.lit(0))
+                    total[n] = self.trace._new(total[n] + after)
         if name == "forall":
             return F.coalesce(total["d"] == 0, F.lit(True))
         if name == "exists":
@@ -802,27 +813,59 @@ class Env:
             out = E("bin", "&&", (out, e))
         return out, equal
 
-    def _validity(self, feed: DataFrame, k: Keyed, name: str, kind, out: str) -> Column:
-        """For what can't be taken back: every value holds from its cycle to the instance's next; values that hold at an evaluation, by pages of time."""
-        page = max(1, (self.c.end - self.c.low + 1) // 256)
-        spans = self._paged(feed.withColumn("__next", F.lead(F.struct(*ORDER)).over(Window.partitionBy(*k.keys).orderBy(*ORDER))), page)
-        cycles = self.trace.df.select(*ORDER).withColumn("__page", self._page(F.col(TS), page)).withColumn("__now", F.struct(*ORDER))
-        hits = cycles.join(spans, "__page").filter((F.col("__from") <= F.col("__now")) & (F.col("__next").isNull() | (F.col("__now") < F.col("__next"))))
+    def _validity(self, rows: DataFrame, k: Keyed, name: str, kind, out: str) -> Column:
+        """For what can't be taken back: every value holds from its cycle to the one before the instance's next, or to its end.
+
+        Cycles are numbered and their ranges cut into the nodes of a tree of width WIDTH, as
+        those of a segment tree are. A value is aggregated into the few nodes that make up
+        its range, a cycle reads the nodes above it; so no cycle meets all instances.
+        Percentiles need the values themselves.
+        """
+        number = self.trace._named(self.trace.running(F.lit(1), "count") - 1)
+        cycles = self.trace.df.select(*ORDER, F.col(number).alias("__now"))
+        levels = max(1, math.ceil(math.log(max(2, self.c.n + 1), WIDTH)) + 1)
+        w = Window.partitionBy(*k.keys, "life").orderBy("__now", "__tag")
+        after = F.coalesce(F.lead(F.col("__now") + F.col("__tag")).over(w), F.lit(2**62))
+        last = rows.join(cycles, ORDER).withColumn("__stop", after).filter("__tag = 0")
+        spans = last.select("value", F.explode(_nodes(F.col("__now"), F.least(F.col("__stop"), F.lit(WIDTH**levels)), levels)).alias("__node"))
+        above = F.array(*[F.lit(i << 56) + F.call_function("div", F.col("__now"), F.lit(WIDTH**i)) for i in range(levels)])
+        places = cycles.select(*ORDER, F.explode(above).alias("__node"))
         if name.startswith("pctl"):
-            value = F.percentile("value", int(name[4:]) / 100)
+            agg = places.join(spans, "__node").groupBy(*ORDER).agg(F.percentile("value", int(name[4:]) / 100).alias(out))
         else:
-            value = aggregates.over_rows(name, F.col("value"), kind, F.col(TS), F.col(TS))
-        agg = hits.groupBy(*ORDER).agg(value.alias(out))
+            v = F.col("value")
+            parts = {"v": aggregates.over_rows(name, v, kind)} if name in ("min", "max", "product") else {"n": F.count(v), "m": F.avg(v), "q": F.var_pop(v) * F.count(v)}
+            per_node = spans.groupBy("__node").agg(*[p.alias(f"__{c}") for c, p in parts.items()])
+            hits = places.join(per_node, "__node").groupBy(*ORDER)
+            if name in ("min", "max", "product"):
+                agg = hits.agg({"min": F.min, "max": F.max, "product": F.product}[name]("__v").alias(out))
+            else:
+                agg = hits.agg(F.collect_list(F.struct("__n", "__m", "__q")).alias("l")).select(*ORDER, aggregates.merged_variance("l", name).alias(out))
         self.trace.df = self.trace.df.join(agg, ORDER, "left")
         return aggregates.when_empty(name, F.col(out), kind)
 
-    def _page(self, ts: Column, page: int) -> Column:
-        return F.call_function("div", ts - F.lit(self.c.low), F.lit(page))
 
-    def _paged(self, spans: DataFrame, page: int) -> DataFrame:
-        first = self._page(F.col(TS), page)
-        last = self._page(F.coalesce(F.col(f"__next.{TS}"), F.lit(self.c.end)), page)
-        return spans.select(F.struct(*ORDER).alias("__from"), "__next", "value", F.explode(F.sequence(first, last)).alias("__page"))
+#: Children of a node of the tree over cycles.
+WIDTH = 16
+
+
+def _nodes(start: Column, stop: Column, levels: int) -> Column:
+    """The nodes (level << 56 | place) that make up the places from start up to before stop."""
+    empty = F.expr("cast(array() as array<bigint>)")
+
+    def run(first, end, level):
+        return F.when(first < end, F.transform(F.sequence(first, F.greatest(first, end - 1)), lambda i: level * F.lit(1 << 56) + i)).otherwise(empty)
+
+    def step(acc, level):
+        up = F.call_function("div", acc["l"] + (WIDTH - 1), F.lit(WIDTH)) * WIDTH
+        down = F.call_function("div", acc["r"], F.lit(WIDTH)) * WIDTH
+        whole = up >= down
+        own = F.when(whole, run(acc["l"], acc["r"], level)).otherwise(F.concat(run(acc["l"], up, level), run(down, acc["r"], level)))
+        to = lambda c: F.when(whole, F.lit(0).cast("bigint")).otherwise(F.call_function("div", c, F.lit(WIDTH)))
+        return F.struct(to(up).alias("l"), to(down).alias("r"), F.concat(acc["nodes"], own).alias("nodes"))
+
+    begin = F.struct(start.cast("bigint").alias("l"), stop.cast("bigint").alias("r"), empty.alias("nodes"))
+    return F.aggregate(F.array(*[F.lit(i).cast("bigint") for i in range(levels)]), begin, step, lambda acc: acc["nodes"])
 
 
 def compile_spec(text: str, events: DataFrame, **options) -> Plan:
