@@ -37,6 +37,34 @@ def lowered(text):
     return F.translate(text, UPPER, LOWER)
 
 
+#: 2**23 bits, one megabyte for the broadcast.
+BITMAP_BITS = 23
+
+
+def bitmap(rows: DataFrame, *columns: str) -> DataFrame:
+    """(part, bits): a bitmap of fixed size with a bit for each of the values."""
+    slots = rows.select(F.shiftrightunsigned(F.xxhash64(*columns), 64 - BITMAP_BITS).alias("slot"))
+    return slots.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+
+
+def marked(rows: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
+    """``rows`` with ``open``: whether the bit of the values is set in the bitmap ``found``, which is broadcast. Values that the bitmap was not made of may have one too."""
+    slot = F.shiftrightunsigned(F.xxhash64(*columns), 64 - BITMAP_BITS)
+    both = rows.withColumns({"slot": slot, "part": F.bitmap_bucket_number(slot)}).join(F.broadcast(found), "part", "left")
+    at = F.bitmap_bit_position("slot")
+    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return both.withColumn("open", F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))).drop("slot", "part", "bits")
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose number in the scan is in ``gone`` (rid). Only rows that a bitmap of these doesn't clear are shuffled; columns may have any names."""
+    gone = cut(gone.select("rid").distinct())
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("rid"))
+    rows = marked(rows, bitmap(gone, "rid"), "rid")
+    kept = rows.filter("open").join(gone.hint("shuffle_hash"), "rid", "left_anti").select("row")
+    return rows.filter("not open").select("row").unionByName(kept).select("row.*")
+
+
 #: Bytes of a batch that Python is handed at once.
 BATCH_BYTES = 4 << 20
 

@@ -4,13 +4,14 @@ Rows are grouped by length, then by the hash of a prefix, then by the SHA-256 of
 whole normalised text (A-Z lowered). Only groups that still have two rows go on, and
 content is read in full for these alone. The first two levels are small aggregates:
 lengths and (length, prefix hash) pairs are pre-aggregated by every task. The pairs
-that survive are sent to the last scan as a bitmap of ``2**BITMAP_BITS`` bits, whose
+that survive are sent to the last scan as a bitmap of one megabyte, whose
 size is fixed whatever the input: a false positive costs one digest and changes no
 result, as rows are grouped by the digest in the end. So texts are never shuffled.
 
 Defined results: null texts equal empty ones; of equal texts the row with the largest
 id stays (null ids rank lowest; of repeated rows with that id one row stays, the last
-of the scan); an empty table gives no rows; further columns are ignored.
+of the scan); very long texts are digested where they are; an empty table gives no rows;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,8 +22,6 @@ from pyspark.sql import functions as F
 from . import common
 
 PREFIX = 64
-#: 2**23 bits, one megabyte for the broadcast.
-BITMAP_BITS = 23
 
 
 def _signature(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -30,17 +29,12 @@ def _signature(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("body"), F.monotonically_increasing_id().alias("rid"), F.octet_length(text).alias("len"), F.xxhash64(common.lowered(F.substring(text, 1, PREFIX))).alias("head"))
 
 
-def _slot():
-    return F.shiftrightunsigned(F.xxhash64("len", "head"), 64 - BITMAP_BITS)
-
-
 def _survivors(rows: DataFrame) -> DataFrame:
-    """The bitmap of (length, prefix hash) pairs that two rows share: ``part``, ``bits``."""
+    """The bitmap of (length, prefix hash) pairs that two rows share."""
     # level 1: lengths that two rows have; level 2: of these, prefixes that two rows have
     pairs = rows.groupBy("len", "head").agg(F.count(F.lit(1)).alias("n"))
     lengths = pairs.groupBy("len").agg(F.sum("n").alias("rows")).filter("rows > 1").select("len")
-    shared = pairs.join(lengths, "len", "left_semi").filter("n > 1").select(_slot().alias("slot"))
-    return shared.groupBy(F.bitmap_bucket_number("slot").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
+    return common.bitmap(pairs.join(lengths, "len", "left_semi").filter("n > 1"), "len", "head")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest_all: bool = False) -> DataFrame:
@@ -49,17 +43,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     ``text_sha256`` is null for rows that an earlier level has settled, unless ``digest_all``.
     """
     rows = _signature(docs, id_col, text_col)
-    bitmap = _survivors(rows)
-    slot = _slot()
-    marked = rows.withColumn("slot", slot).withColumn("part", F.bitmap_bucket_number("slot")).join(F.broadcast(bitmap), "part", "left")
-    at = F.bitmap_bit_position("slot")
-    byte = F.conv(F.hex(F.substring("bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    open_ = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    marked = common.marked(rows, _survivors(rows), "len", "head")
     # level 3: the whole content of what is left
     digest = F.unhex(F.sha2(common.lowered(F.col("body")).cast("binary"), 256))
     if not digest_all:
-        digest = F.when(open_, digest)
-    narrow = common.cut(marked.select("rid", "doc_id", "len", open_.alias("open"), digest.alias("digest")))
+        digest = F.when(F.col("open"), digest)
+    narrow = common.cut(marked.select("rid", "doc_id", "len", "open", digest.alias("digest")))
     last = F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("i"), "rid", "doc_id"))
     groups = narrow.filter("open").groupBy("len", "digest").agg(last.alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     groups = groups.select(F.col("digest").alias("key"), F.col("last.rid").alias("keep_rid"), F.col("last.doc_id").alias("keep_id"), "size")
@@ -77,9 +66,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: one row of each group stays, with its columns."""
-    cols = docs.columns
-    gone = dedup(docs).filter(~F.col("kept")).select(F.col("rid").alias("rid__"))
-    return docs.withColumn("rid__", F.monotonically_increasing_id()).join(gone, "rid__", "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    return common.without(docs, dedup(docs).filter(~F.col("kept")))
 
 
 ORACLE = """

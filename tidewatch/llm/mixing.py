@@ -9,8 +9,9 @@ split into equal independent pieces, whose counts add up; each piece is inverted
 exactly to the 52 bits of its uniform number.
 
 Defined results: null sources form one source; null ids hash as ``null``; empty texts
-count as documents; rows that repeat an id get the same count; an empty table gives no
-rows; further columns are carried along.
+count as documents, very long ones as one each; rows that repeat an id get the same count;
+an empty table gives no rows; further columns are carried along, but for ``copy`` and
+``mix_key``, which the result has of its own.
 """
 
 from __future__ import annotations
@@ -64,14 +65,16 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, alpha:
     per_source = common.cut(rates(docs, weights, alpha, source_col))
     if per_source.count() <= BROADCAST_SOURCES:
         per_source = F.broadcast(per_source)
-    cols = [F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "mix_key")]
+    source, own = F.col(f"`{source_col}`"), [F.col(f"`{c}`") for c in docs.columns if c not in ("copy", "mix_key")]
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))
-    rows = docs.withColumn("key__", F.struct(F.col(f"`{source_col}`").isNull(), F.coalesce(F.col(f"`{source_col}`"), F.lit("")))).join(per_source, "key__")
-    u = lambda j: _bits(F.concat(F.lit(f"{seed}:"), name, F.lit(":"), j.cast("string")), 13) / F.lit(float(2**52))
+    # the columns of docs in one, so that no name of theirs meets one of these
+    rows = docs.select(F.struct(*own).alias("row"), name.alias("name__"), F.struct(source.isNull(), F.coalesce(source, F.lit(""))).alias("key__")).join(per_source, "key__")
+    u = lambda j: _bits(F.concat(F.lit(f"{seed}:"), F.col("name__"), F.lit(":"), j.cast("string")), 13) / F.lit(float(2**52))
     count = F.aggregate(F.sequence(F.lit(1), F.col("pieces__")), F.lit(0), lambda n, j: n + F.size(F.filter("cdf__", lambda c: c <= u(j))))
-    copies = rows.withColumn("count__", count).filter("count__ > 0").select(*cols, name.alias("name__"), F.explode(F.sequence(F.lit(1), F.col("count__"))).alias("copy"))
-    keyed = copies.withColumn("mix_key", _bits(F.concat(F.lit(f"{seed}:order:"), F.col("name__"), F.lit(":"), F.col("copy").cast("string")), 15))
-    return keyed.drop("name__").repartition("mix_key").sortWithinPartitions("mix_key")
+    copies = rows.withColumn("count__", count).filter("count__ > 0").select("row", "name__", F.explode(F.sequence(F.lit(1), F.col("count__"))).alias("copy"))
+    key = _bits(F.concat(F.lit(f"{seed}:order:"), F.col("name__"), F.lit(":"), F.col("copy").cast("string")), 15)
+    keyed = copies.select("row.*", "copy", key.alias("mix_key"))
+    return keyed.repartition("mix_key").sortWithinPartitions("mix_key")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -167,30 +167,50 @@ def parity(h: np.ndarray) -> bytes:
     return np.packbits((count & 1).astype(np.uint8)).tobytes()
 
 
-def candidate_pairs(members: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Pairs of rows of a shard that are compared first: each with the smallest, which the shards of a group tend to have in common."""
-    hub = min(members)[0]
-    return [(hub, row) for row, _ in members if row != hub]
-
-
 def possible(n_a, room_a, n_b, room_b, similarity: float):
     """Whether sets of so many members, of which so many are left from the first common one on, can be that similar."""
     return np.minimum(room_a, room_b) >= similarity / (1 + similarity) * (n_a + n_b) - 1e-6
 
 
-def other_pairs(rid, n, room, root, bits, similarity: float, spanning: bool = False) -> list[tuple[int, int]]:
-    """All pairs of rows of a shard but those that have one ``root`` and those that sizes or bitmaps (a row of words each) rule out; or a forest that spans these."""
+def _alike(i, j, n, room, root, bits, similarity: float) -> np.ndarray:
+    """Of pairs of places: which have different roots and are not ruled out by sizes or bitmaps."""
+    out = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 16):
+        x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+        at = np.flatnonzero((root[x] != root[y]) & possible(n[x], room[x], n[y], room[y], similarity))
+        differ = np.bitwise_count(bits[x[at]] ^ bits[y[at]]).sum(1, dtype=np.int64)
+        out[k + at] = differ <= (1 - similarity) / (1 + similarity) * (n[x[at]] + n[y[at]]) + 1e-6
+    return out
+
+
+#: Members of a shard of which all pairs are looked at together.
+FEW_MEMBERS = 8
+
+
+def small_pairs(bounds) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of places within the shards of at most FEW_MEMBERS."""
+    first, size = bounds[:-1], np.diff(bounds)
+    i, j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for m in range(2, FEW_MEMBERS + 1):
+        a, b = np.triu_indices(m, 1)
+        at = first[size == m][:, None]
+        i.append((at + a).ravel())
+        j.append((at + b).ravel())
+    return np.concatenate(i), np.concatenate(j)
+
+
+def other_pairs(n, room, root, bits, similarity: float, spanning: bool) -> list[tuple[int, int]]:
+    """All pairs of places of a shard but those that have one ``root`` and those that sizes or bitmaps (a row of words each) rule out; or a forest that spans these."""
     order, out = np.argsort(n, kind="stable"), []
-    rid, n, room, root, bits = rid[order], n[order].astype(np.int64), room[order], root[order], bits[order]
+    n, room, root, bits = n[order], room[order], root[order], bits[order]
     for i, e in enumerate(np.searchsorted(n, n / similarity + 1e-6, "right").tolist()):
-        at = i + 1 + np.flatnonzero((root[i + 1 : e] != root[i]) & possible(n[i], room[i], n[i + 1 : e], room[i + 1 : e], similarity))
-        differ = np.bitwise_count(bits[at] ^ bits[i]).sum(1, dtype=np.int64)
-        at = at[differ <= (1 - similarity) / (1 + similarity) * (n[i] + n[at]) + 1e-6]
-        if spanning:
+        at = np.arange(i + 1, e)
+        at = at[_alike(np.full(len(at), i), at, n, room, root, bits, similarity)]
+        if spanning and len(at):
             joined, one = np.unique(root[at], return_index=True)
             root[np.isin(root, joined)] = root[i]
             at = at[one]
-        out += [(int(rid[i]), r) for r in rid[at].tolist()]
+        out += [(int(order[i]), int(order[k])) for k in at]
     return out
 
 
@@ -265,14 +285,21 @@ def keys(source: DataFrame, similarity: float, width: int) -> DataFrame:
     return source.mapInArrow(run, "key long, rid long, n int, room int")
 
 
-def packed(source: DataFrame, who: DataFrame) -> DataFrame:
-    """(rid, body): the texts of the rows ``who`` (rid), compressed."""
+def packed(source: DataFrame, who: DataFrame, width: int | None = None) -> DataFrame:
+    """(rid, body, bits): the texts of the rows ``who`` (rid), compressed, and with ``width`` the bitmaps of their shingles.
+
+    A bitmap of row ids keeps other texts from being shuffled.
+    """
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([zlib.compress(b.as_py(), 1) for b in batch.column("body")], pa.binary())], names=["rid", "body"])
+            bodies = [b.as_py() for b in batch.column("body")]
+            bits = [None if width is None else parity(shingles(b, width)) for b in bodies]
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([zlib.compress(b, 1) for b in bodies], pa.binary()), pa.array(bits, pa.binary())], names=["rid", "body", "bits"])
 
-    return common.cut(source.select("rid", "body").join(who.distinct().hint("shuffle_hash"), "rid", "left_semi").mapInArrow(run, "rid long, body binary"))
+    who = common.cut(who.distinct())
+    some = common.marked(source.select("rid", "body"), common.bitmap(who, "rid"), "rid").filter("open").drop("open")
+    return common.cut(some.join(who.hint("shuffle_hash"), "rid", "left_semi").mapInArrow(run, "rid long, body binary, bits binary"))
 
 
 def verified(found: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -296,10 +323,11 @@ def verified(found: DataFrame, texts: DataFrame, similarity: float, width: int)
 def similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b), row ids of texts whose sets of ``width``-word shingles have at least this Jaccard similarity.
 
-    Their closure is that of all such pairs. In a first round each member of a shard is
-    compared with one of it. Later rounds leave out pairs that verified links join and those
-    that sizes or parity bitmaps rule out (none of that similarity): the second compares a
-    forest of the others, the third all that are left. The shingles decide.
+    Their closure is that of all such pairs. First each text is compared with one: with the
+    text that is the first member of most of its shards. Later rounds leave out pairs that
+    verified links join and those that sizes or parity bitmaps rule out (none of that
+    similarity). The second compares a forest of the others, one pair for any two groups;
+    the third compares all that are left. The shingles decide.
     """
     source = common.keyed(docs, id_col, text_col)
     shards = keys(source, similarity, width).repartition("key").sortWithinPartitions("key", "rid")
@@ -308,47 +336,48 @@ def similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: st
         for t, bounds in _whole_shards(batches):
             rid, n, room = (t.column(c).to_numpy() for c in ("rid", "n", "room"))
             size = np.diff(bounds)
-            hub = np.arange(len(rid))
-            hub[bounds[:-1][size == 2] + 1] -= 1  # most shards
-            for s, e in zip(bounds[:-1][size > 2].tolist(), bounds[1:][size > 2].tolist(), strict=True):
-                for a, b in candidate_pairs(list(zip(range(s, e), rid[s:e].tolist(), strict=True))):
-                    hub[b] = a
+            hub = np.repeat(bounds[:-1], size)
             asked = (hub != np.arange(len(rid))) & possible(n[hub], room[hub], n, room, similarity)
-            more = np.repeat(size > 2, size)
-            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in t.column_names] + [pa.array(rid[hub]), pa.array(asked), pa.array(more)], names=[*t.column_names, "hub", "asked", "more"]).filter(pa.array(asked | more))
+            keep = np.repeat((size > 2) | np.logical_or.reduceat(asked, bounds[:-1]), size)
+            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in t.column_names] + [pa.array(np.where(asked, rid[hub], -1))], names=[*t.column_names, "hub"]).filter(pa.array(keep))
 
-    met = common.cut(shards.mapInArrow(first, "key long, rid long, n int, room int, hub long, asked boolean, more boolean"))
-    texts = packed(source, met.select("rid").unionByName(met.filter("asked").select(F.col("hub").alias("rid"))))
-    links = verified(met.filter("asked").select(F.col("hub").alias("a"), F.col("rid").alias("b")).distinct(), texts, similarity, width)
     def unsettled(batches):
         for t, bounds in _whole_shards(batches):
             root, size = t.column("root").to_numpy(), np.diff(bounds)
             mixed = np.minimum.reduceat(root, bounds[:-1]) != np.maximum.reduceat(root, bounds[:-1])
             yield t.combine_chunks().to_batches()[0].filter(pa.array(np.repeat(mixed, size)))
 
-    def drawn(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), pa.array([parity(shingles(zlib.decompress(b.as_py()), width)) for b in batch.column("body")], pa.binary())], names=["rid", "bits"])
-
     def rest(batches, spanning):
         for t, bounds in _whole_shards(batches):
             rid, n, room, root = (t.column(c).to_numpy() for c in ("rid", "n", "room", "root"))
+            n = n.astype(np.int64)
             bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(rid), -1)
-            out = set()
+            i, j = small_pairs(bounds)
+            some = _alike(i, j, n, room, root, bits, similarity)
+            more = [np.stack([i[some], j[some]], 1)]
             for s, e in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                out.update((min(p), max(p)) for p in other_pairs(rid[s:e], n[s:e], room[s:e], root[s:e].copy(), bits[s:e], similarity, spanning))
-            pairs = np.array(sorted(out), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    open_rows = met.filter("more").select("key", "rid", "n", "room")
+                if e - s > FEW_MEMBERS:
+                    more.append(np.array(other_pairs(n[s:e], room[s:e], root[s:e], bits[s:e], similarity, spanning), np.int64).reshape(-1, 2) + s)
+            at = np.concatenate(more)
+            pairs = np.unique(np.concatenate([np.sort(rid[at], 1), np.sort(root[at], 1)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], names=["a", "b", "one", "two"])
+
+    met = common.cut(shards.mapInArrow(first, "key long, rid long, n int, room int, hub long"))
+    asked = met.filter("hub >= 0").groupBy("rid", "hub").agg(F.count(F.lit(1)).alias("often"))
+    found = common.cut(asked.groupBy(F.col("rid").alias("b")).agg(F.max_by("hub", F.struct("often", -F.col("hub"))).alias("a")))
+    links = verified(found, packed(source, found.select(F.col("a").alias("rid")).unionByName(found.select(F.col("b").alias("rid")))), similarity, width)
+    open_rows, texts = met.drop("hub"), None
     for spanning in (True, False):
         roots = graph.components(links).withColumnRenamed("node", "rid")
-        rows = open_rows.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")).select("key", "rid", "n", "room", "root")
-        open_rows = common.cut(rows.repartition("key").sortWithinPartitions("key").mapInArrow(unsettled, "key long, rid long, n int, room int, root long"))
-        bitmaps = texts.join(open_rows.select("rid").distinct(), "rid", "left_semi").mapInArrow(drawn, "rid long, bits binary")
-        dealt = open_rows.join(bitmaps, "rid").repartition("key").sortWithinPartitions("key")
-        found = common.cut(dealt.mapInArrow(partial(rest, spanning=spanning), "a long, b long").distinct())
-        links = links.unionByName(verified(found, texts, similarity, width))
+        rows = open_rows.join(roots, "rid", "left").select("key", "rid", "n", "room", F.coalesce("root", "rid").alias("root"))
+        open_rows = common.cut(rows.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(unsettled, "key long, rid long, n int, room int, root long"))
+        if texts is None:  # the last round has no other texts
+            texts = packed(source, open_rows.select("rid"), width)
+        dealt = open_rows.join(texts.select("rid", "bits"), "rid").repartition("key").sortWithinPartitions("key", "rid")
+        found = dealt.mapInArrow(partial(rest, spanning=spanning), "a long, b long, one long, two long")
+        if spanning:
+            found = found.groupBy("one", "two").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
+        links = links.unionByName(verified(common.cut(found.select("a", "b").distinct()), texts, similarity, width))
         open_rows = open_rows.drop("root")
     return links
 
@@ -358,7 +387,4 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Equal texts without words are left to exact dedup.
     """
-    cols = docs.columns
-    groups = graph.components(similar(docs))
-    gone = groups.filter(F.col("node") != F.col("root")).select(F.col("node").alias("rid__"))
-    return docs.withColumn("rid__", F.monotonically_increasing_id()).join(gone.hint("shuffle_hash"), "rid__", "left_anti").select(*[F.col(f"`{c}`") for c in cols])
+    return common.without(docs, graph.components(similar(docs)).filter("node <> root").select(F.col("node").alias("rid")))
