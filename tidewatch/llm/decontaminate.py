@@ -10,7 +10,8 @@ blocks of at most ``MAX_ITEM_BYTES`` of text, so what is sent to the executors i
 
 Defined results: null or empty texts have no words and no hits; items without words
 match nothing; repeated rows are searched alike; an item whose id is null marks words
-but is in no list of ids; further columns are ignored.
+but is in no list of ids; very long texts are searched whole, one at a time; empty tables
+give no rows or no hits; further columns are ignored.
 """
 
 from __future__ import annotations

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
 from . import chat, decontaminate, exact, mixing, phrases, secrets, simhash, suffix, tokens, toxicity
 
 
@@ -19,7 +17,6 @@ def queries():
         "op8_suffix_dedup": suffix.query,
         "op9_toxicity": toxicity.query,
         "op10_decontamination": decontaminate.query,
-        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -14,8 +14,8 @@ nothing is shuffled.
 Defined results: null and empty texts have no candidates; words are taken wherever they
 stand, in very long texts too; repeated candidates and rows are reported each; null paths
 say nothing; an empty table gives no rows; further columns are ignored. Labelled findings
-whose label or candidate is null are left out; without both labels training fails with a
-clear error.
+whose label or candidate is null are left out; without both labels training raises a
+ValueError that says so.
 """
 
 from __future__ import annotations
@@ -94,6 +94,8 @@ def train(findings: DataFrame, trees: int = 40, depth: int = 8, seed: int = 5, m
     used = used.orderBy(F.xxhash64("candidate", "before", "label")).limit(max_findings)
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(features(common.cut(used)).withColumn("label", F.col("label").cast("double")))
     rows = common.cut(rows.select("features", "label"))
+    if sorted(r["label"] for r in rows.select("label").distinct().limit(3).collect()) != [0.0, 1.0]:
+        raise ValueError("labelled findings need both labels, 0 and 1")
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt").fit(rows)
 
 

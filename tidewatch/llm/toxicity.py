@@ -6,8 +6,9 @@
 2. Voters: a part of a lexicon that occurs votes 1, else abstains; a lexicon of which
    nothing occurs votes -1; surface patterns vote 1.
 3. A generative model with a hidden class and a vote distribution per voter and class is
-   fitted by EM without labels. Correlations of voters given the class are estimated
-   from the residuals in every round and discount the evidence of correlated voters.
+   fitted by EM without labels, from the share of voters that vote 1 on, which also says
+   what class 1 is. Correlations of voters given the class are estimated from the
+   residuals in every round and discount the evidence of correlated voters.
 4. A logistic regression on counts of lexicon hits and patterns is trained on the
    posterior labels; its output is calibrated on the labelled rows.
 
@@ -16,8 +17,8 @@ are no inputs of a score.
 
 Defined results: null texts score as empty ones; labels that are null are ignored and of
 several labels of an id the largest counts; without labelled rows of both kinds every
-score is 0; repeated rows score alike; null ids are not held out; an empty table gives
-no rows; further columns are ignored.
+score is 0; repeated rows score alike; null ids are not held out; very long texts are
+scored whole, one at a time; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,10 +33,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Labelled rows used for fitting, and lexicon entries kept: both bound what reaches the driver.
-MAX_LABELLED, MAX_LEXICON = 20_000, 3_000
+#: Labelled rows used for fitting; they bound lexicons and what reaches the driver.
+MAX_LABELLED = 20_000
 HELD_OUT, FOLDS, THRESHOLD = 2, 4, 0.3
-PARTS = 3
+#: Voters into which a lexicon is parted.
+PARTS = 8
 KINDS = (("word", None), ("five", 5), ("four", 4))
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 PATTERNS = (re.compile(rb"[A-Z]{4,}!!"), re.compile(rb"([!?*#$%&])\1{2,}"), re.compile(rb"\b[A-Z]{5,}\b[^a-z]{0,3}\b[A-Z]{5,}\b"))
@@ -145,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     sample = common.keyed(docs, id_col, text_col).join(F.broadcast(known), "doc_id").select("toxic", "body")
-    sample = common.cut(sample)
+    sample = common.cut(sample.limit(max_labelled))  # an id may have several rows
 
     def mined(batches):
         for batch in batches:
@@ -165,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     least = max(3, round(0.004 * n_toxic))
     ratio = (F.col("toxic") / F.lit(float(n_toxic))) / ((F.col("n") - F.col("toxic") + 0.5) / F.lit(float(n - n_toxic)))
     counts = once.mapInArrow(mined, "kind int, token binary, toxic long").groupBy("kind", "token").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    best = counts.filter((F.col("toxic") >= least) & (ratio >= 40)).orderBy(F.desc("toxic"), "n", "kind", "token").limit(MAX_LEXICON).collect()
+    best = counts.filter((F.col("toxic") >= least) & (ratio >= 40)).orderBy(F.desc("toxic"), "n", "kind", "token").collect()  # of max_labelled texts
     parts = [[set() for _ in range(PARTS)] for _ in KINDS]
     for i, r in enumerate(best):
         parts[r["kind"]][i % PARTS].add(bytes(r["token"]))
@@ -176,11 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
             x = [lexicons.features(body) for body in batch.column("body").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("toxic").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["toxic", "x"])
 
-    rows = sample.mapInArrow(measured, "toxic int, x array<double>").collect()  # at most max_labelled short rows, repeats of an id aside
+    rows = sample.mapInArrow(measured, "toxic int, x array<double>").collect()  # at most max_labelled short rows
     y, x = np.array([r["toxic"] for r in rows], float), np.array([r["x"] for r in rows])
     post, _, _ = label_model(votes(x))
-    if np.corrcoef(post, y)[0, 1] < 0:  # which hidden class is the toxic one
-        post = 1 - post
     weights = logistic(_inputs(x), post)
     z = weights[0] + _inputs(x) @ weights[1:]
     a, b = logistic(z[:, None], y, penalty=0.1)
