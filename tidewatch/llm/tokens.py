@@ -3,8 +3,9 @@
 Pre-tokens of a batch that have not been counted before are laid out end to end as one
 array of symbols with a row number each. In every round all rows apply their pair of
 lowest rank at once, at all of its places from the left; rows without a pair are done,
-and the symbols that survive are counted. Counts of pre-tokens are kept between batches,
-up to ``KEEP`` of them. The vocabulary (a few hundred kilobytes) travels with the task.
+and the symbols that survive are counted. A pre-token of more than ``LONG`` characters is
+merged by itself, in rounds that touch only the places of the pair. Counts of pre-tokens
+are kept between batches, up to ``KEEP`` of them. The vocabulary (a few hundred kilobytes) travels with the task.
 
 Defined results: null and empty texts have no tokens; special strings inside texts count
 as one token each, as the library does by default; repeated rows count alike; very long
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass
+from heapq import heappop, heappush
 from itertools import islice
 
 import numpy as np
@@ -29,6 +31,8 @@ from . import common
 #: Pre-token pattern of byte-level vocabularies (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 KEEP, RUN, CHARS = 200_000, 100_000, 1 << 20
+#: Characters from which a pre-token is merged by itself.
+LONG = 1_000
 LIMIT = 512
 
 
@@ -103,6 +107,50 @@ class Vocabulary:
         return done
 
 
+    def count_long(self, piece: bytes) -> int:
+        """Symbols that survive in one long piece: the same rounds, each of which touches only the places of its pair."""
+        sym, n, none = self.first[np.frombuffer(piece, np.uint8)].copy(), len(piece), len(self.rank)
+        by_rank = np.empty(none, np.int64)
+        by_rank[self.rank] = self.merged
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        ranks, alive = np.full(n, none), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}  # places by the rank of the pair that begins there
+        todo: list[int] = []
+
+        def look(places):
+            pair = sym[places] << 32 | sym[after[places]]
+            at = np.minimum(np.searchsorted(self.pairs, pair), none - 1)
+            ranks[places] = np.where(self.pairs[at] == pair, self.rank[at], none)
+            places = places[ranks[places] < none]
+            places = places[np.argsort(ranks[places], kind="stable")]
+            found, start = np.unique(ranks[places], return_index=True)
+            for r, some in zip(found.tolist(), np.split(places, start[1:]), strict=True) if len(found) else ():
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(todo, r)
+                waiting[r].append(some)
+
+        look(np.arange(n - 1))
+        while todo:
+            r = heappop(todo)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (ranks[at] == r)]
+            if not len(at):
+                continue
+            # in a run of places that overlap (a pair of equal symbols) every second one counts
+            new = np.concatenate(([True], after[at[:-1]] != at[1:]))
+            begin = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - begin) % 2 == 0]
+            gone = after[at]
+            sym[at], alive[gone], ranks[gone], ranks[at] = by_rank[r], False, none, none
+            after[at] = after[gone]
+            inner = after[at] < n
+            before[after[at][inner]] = at[inner]
+            left = before[at]
+            look(np.unique(np.concatenate((at[inner], left[left >= 0]))))
+        return int(alive.sum())
+
+
 class Counter:
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary, self.pattern = vocabulary, regex.compile(PATTERN)
@@ -115,8 +163,10 @@ class Counter:
             if len(self.known) + len(new) > KEEP:
                 self.known = {}
                 new = list(found)
-            counts = self.vocabulary.count([p.encode() for p in new])
-            self.known.update(zip(new, counts.tolist(), strict=True))
+            short, long = [p for p in new if len(p) <= LONG], [p for p in new if len(p) > LONG]
+            if short:
+                self.known.update(zip(short, self.vocabulary.count([p.encode() for p in short]).tolist(), strict=True))
+            self.known.update((p, self.vocabulary.count_long(p.encode())) for p in long)
 
     def _pieces(self, text: str) -> tuple[list[str], int]:
         if self.special is None:
