@@ -10,16 +10,24 @@ that they can stand for) are equal are counted together before anything is shipp
 one of them, the first by (id, row, place), stands for all.
 
 The operators then compare the surroundings themselves; this module's hashes only choose
-what is compared and count equal surroundings.
+what is compared and count equal surroundings. Ranges are hashed by their k-grams, each
+mixed before, so that regular texts have no regular hashes.
+
+Where very many kinds of surroundings share a prefix, ``refined`` splits them: the spans
+that start 0 to 2n-1 places before an anchor are those of 0 to n-1 and those of n to 2n-1,
+and either half has a longer prefix, which fewer anchors share. Kinds that agree in all
+symbols of a half are one kind there. At the end a half is one span, which is its prefix.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,8 +121,9 @@ class Shape:
         a = np.unique(np.concatenate(found))
         doc = np.searchsorted(bounds, a, "right") - 1
         lo, hi = np.maximum(a - w + 1, bounds[doc]), np.minimum(a + self.span, bounds[doc + 1])
-        around = mix(hashes.of(lo, hi) + (a - lo).astype(np.uint64) * np.uint64(BASE) + (hi - a).astype(np.uint64))
-        return doc, a - bounds[doc], hashes.of(a, a + self.prefix), around
+        grams = Hashes(h, powers)
+        around = mix(grams.of(lo, hi - k + 1) + (a - lo).astype(np.uint64) * np.uint64(BASE) + (hi - a).astype(np.uint64))
+        return doc, a - bounds[doc], grams.of(a, a + self.prefix - k + 1), around
 
 
 def chunks(bodies: list[bytes]) -> Iterator[tuple[int, list[bytes]]]:
@@ -149,7 +158,7 @@ def candidates(docs: DataFrame, shape: Shape, symbols: Callable) -> DataFrame:
 
 
 def standing(found: DataFrame, hot: int) -> tuple[DataFrame, bool]:
-    """One row for all anchors of equal surroundings: key, ctx, n, the first of them as rid, pos; and of its key: whether surroundings ``differ``, ``many`` if there are more than ``hot`` kinds. Second: whether any key has so many."""
+    """One row for all anchors of equal surroundings: key, ctx, n, the first of them as doc_id, rid, pos; and of its key: whether surroundings ``differ``, ``many`` if there are more than ``hot`` kinds. Second: whether any key has so many."""
     first = F.min(F.struct("doc_id", "rid", "pos"))  # null ids come first
     rows = found.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), first.alias("r"))
     kinds = found.groupBy("key").agg(F.approx_count_distinct("ctx", 0.02).alias("about"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
@@ -159,7 +168,7 @@ def standing(found: DataFrame, hot: int) -> tuple[DataFrame, bool]:
 
 
 def surroundings(docs: DataFrame, rows: DataFrame, extract: Callable, bucket: Callable | None = None) -> DataFrame:
-    """``rows`` with ``lead`` and ``rest``: the symbols before the anchor and from it on, and the ``bucket`` of ``rest``.
+    """``rows`` with ``lead`` and ``rest``: the symbols before the anchor and from it on, the ``bucket`` of ``rest``, and the key as ``part``.
 
     extract: (text, places) -> two lists of bytes. Texts are shuffled once for this and for
     what ``joined`` does with the same documents.
@@ -186,7 +195,84 @@ def surroundings(docs: DataFrame, rows: DataFrame, extract: Callable, bucket: Ca
             yield pa.RecordBatch.from_arrays([*(flat.field(c).cast(k) for c, k in kinds.items()), batch.column("rid").take(whose), batch.column("doc_id").fill_null(-(2**63)).take(whose), pa.array(lead, pa.binary()), pa.array(rest, pa.binary()), pa.array(placed, pa.int32())], names=[*cols, "rid", "doc_id", "lead", "rest", "bucket"])
 
     schema = "key long, ctx long, n long, pos int, many boolean, rid long, doc_id long, lead binary, rest binary, bucket int"
-    return joined(docs, per_doc, "rows", "inner").mapInArrow(run, schema)
+    return joined(docs, per_doc, "rows", "inner").mapInArrow(run, schema).withColumn("part", F.col("key"))
+
+
+#: What is compared of a kind of surroundings, and which kind of an anchor it is.
+KIND = ["part", "key", "ctx", "n", "doc_id", "rid", "pos", "lead", "rest"]
+
+
+def _halves(batches, trim: Callable):
+    """Both halves of what is open: the kind's symbols that a half's spans cover, and ``head``, a hash of what all of these spans cover (it only chooses what is compared)."""
+    names = ["key", "ctx", "doc_id", "rid", "pos"]
+    for batch in batches:
+        row, low, high, lead, rest, head = [], [], [], [], [], []
+        columns = (batch.column(c).to_pylist() for c in ("low", "high", "lead", "rest"))
+        for i, (l, h, x, y) in enumerate(zip(*columns, strict=True)):
+            middle = (l + h) // 2
+            for a, b in ((l, middle), (middle + 1, h)) if l < h else ():
+                if (got := trim(x, y, a, b)) is not None:
+                    row.append(i)
+                    low.append(a)
+                    high.append(b)
+                    lead.append(got[0])
+                    rest.append(got[1])
+                    head.append(xxhash.xxh64_intdigest(got[2], b) - 2**63)
+        at = pa.array(row, pa.int64())
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in names), *(pa.array(x, pa.int32()) for x in (low, high)), *(pa.array(x, pa.binary()) for x in (lead, rest)), pa.array(head, pa.int64())], names=[*names, "low", "high", "lead", "rest", "head"])
+
+
+def refined(rows: DataFrame, window: int, hot: int, trim: Callable) -> tuple[DataFrame, DataFrame]:
+    """Kinds of surroundings whose prefix more than ``hot`` share (rows: KIND), split until no more than that share one.
+
+    First: rows of KIND whose ``part`` is to be compared together; their ``lead`` and ``rest``
+    reach as far as the spans in question only, which are nobody else's. Second: (key, ctx,
+    lead, rest, first), kinds that agree with an earlier one in all that such spans cover, or
+    are the first of such kinds.
+    """
+    schema = "key long, ctx long, doc_id long, rid long, pos int, low int, high int, lead binary, rest binary, head long"
+    half = ["low", "high", "lead", "rest"]
+    open_ = rows.select("key", "ctx", "doc_id", "rid", "pos", F.lit(0).alias("low"), F.lit(window - 1).alias("high"), "lead", "rest")
+    ready = equal = None
+    while True:
+        halves = common.cut(open_.mapInArrow(partial(_halves, trim=trim), schema))
+        kinds = common.cut(halves.groupBy(*half, "head").agg(F.min(F.struct("doc_id", "rid", "pos", "key", "ctx")).alias("p"), F.count(F.lit(1)).alias("c")))
+        twice = kinds.filter("c > 1").select(*half, F.col("p.rid").alias("first_rid"), F.col("p.pos").alias("first_pos"))
+        same = halves.join(twice, half).select("key", "ctx", "lead", "rest", ((F.col("rid") == F.col("first_rid")) & (F.col("pos") == F.col("first_pos"))).alias("first"))
+        heads = kinds.groupBy("low", "high", "head").agg(F.count(F.lit(1)).alias("sharing")).filter("sharing > 1")
+        shared = common.cut(kinds.join(heads, ["low", "high", "head"]).select("p.*", "low", "high", "lead", "rest", "sharing", F.xxhash64("low", "high", "head").alias("part")))
+        done = shared.filter(F.col("sharing") <= hot).withColumn("n", F.lit(1).cast("long")).select(*KIND)
+        ready = done if ready is None else ready.unionByName(done)
+        equal = same if equal is None else equal.unionByName(same)
+        open_ = shared.filter(F.col("sharing") > hot)
+        if open_.isEmpty():
+            return ready, equal
+
+
+def parts(batches, columns: list[str], rows: int = 4_096) -> Iterator[dict[str, np.ndarray | list]]:
+    """Whole parts from batches sorted by ``part``, at least so many rows at a time: longs as arrays, bytes as lists; held are these and a batch."""
+    kept: list[pa.RecordBatch] = []
+
+    def flush():
+        t = pa.Table.from_batches(kept)
+        return {c: t.column(c).to_pylist() if pa.types.is_binary(t.column(c).type) else t.column(c).to_numpy() for c in columns}
+
+    size = 0
+    for batch in batches:
+        start, key = 0, batch.column("part").to_numpy()
+        for cut in [*(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()]:
+            if size + cut - start >= rows:
+                kept.append(batch.slice(start, cut - start))
+                yield flush()
+                kept, size, start = [], 0, cut
+        if len(key) > start:
+            if size >= rows and kept[-1].column("part")[-1].as_py() != key[start]:
+                yield flush()
+                kept, size = [], 0
+            kept.append(batch.slice(start))
+            size += len(key) - start
+    if kept:
+        yield flush()
 
 
 def joined(docs: DataFrame, per_doc: DataFrame, column: str, how: str) -> DataFrame:
@@ -207,12 +293,3 @@ def starts_of(pos: np.ndarray, masks: np.ndarray) -> np.ndarray:
     bits = np.unpackbits(np.ascontiguousarray(masks).view(np.uint8), axis=1, bitorder="little")
     row, o = np.nonzero(bits)
     return np.unique(pos[row] - o)
-
-
-def batched(batches, columns: list[str]) -> dict[str, np.ndarray | list]:
-    """All rows of a partition: longs as arrays, bytes as lists."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return {}
-    t = pa.Table.from_batches(held)
-    return {c: t.column(c).to_pylist() if pa.types.is_binary(t.column(c).type) else t.column(c).to_numpy() for c in columns}

@@ -6,14 +6,16 @@ partitioned by their leading bytes with sampled splitters. A bucket sorts its su
 multikey quicksort over characters of eight bytes, and the reversed bytes before them
 likewise; common lengths with the neighbours in both orders tell for each of the spans
 around a suffix which others have it. Suffixes with equal leading bytes are in one
-bucket, unless more than ``HOT`` kinds of surroundings share them: those are spread over
-all tasks, and their spans are compared across the boundaries by two independent 64-bit
-digests, counted by every task before they meet.
+bucket, so nothing crosses a boundary, unless more than ``HOT`` kinds of surroundings
+share these bytes: such a bucket is split at its middle into the suffixes as they are and
+those that start up to half a window earlier, with so many more leading bytes, again and
+again (``repeats.refined``); bytes decide there too.
 
 Defined results: null texts are empty; texts under ``SPAN`` bytes keep everything; all
 occurrences are removed, the first too; repeated rows are occurrences of each other;
-texts need not be valid UTF-8 after removal, as the kept bytes are counted in bytes; an
-empty table gives no rows; further columns are ignored.
+texts need not be valid UTF-8 after removal, as the kept bytes are counted in bytes; very
+long texts are handled one at a time; an empty table gives no rows; further columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +30,10 @@ from pyspark.sql import functions as F
 from . import common, repeats
 
 SPAN = 200
-#: Kinds of surroundings of equal leading bytes that one bucket sorts; suffixes sampled for splitters.
-HOT, SAMPLE = 5_000, 4_000
+#: Kinds of surroundings of equal leading bytes that are sorted together (about 100 MB of a task); suffixes sampled for splitters.
+HOT, SAMPLE = 32_768, 4_000
 SHAPE = repeats.Shape(SPAN, 128, 16)
 TABLE = np.random.default_rng(11).integers(0, 2**64, 256, dtype=np.uint64)
-OTHER = np.random.default_rng(12).integers(0, 2**64, 256, dtype=np.uint64)
 
 
 def symbols(bodies: list[bytes], powers) -> tuple[np.ndarray, np.ndarray]:
@@ -110,29 +111,29 @@ def shared_spans(lead: list[bytes], rest: list[bytes], n: np.ndarray) -> np.ndar
 
 
 def _inner(batches):
-    rows = repeats.batched(batches, ["key", "ctx", "n", "lead", "rest"])
-    if not rows:
-        return
-    masks = shared_spans(rows["lead"], rows["rest"], rows["n"])
-    some = masks.any(1)
-    yield pa.RecordBatch.from_arrays([pa.array(rows["key"][some]), pa.array(rows["ctx"][some]), pa.array(masks[some, 0]), pa.array(masks[some, 1])], names=["key", "ctx", "m0", "m1"])
-
-
-def _across(batches):
-    powers = repeats.Powers()
-    for batch in batches:
-        key, ctx, n = (batch.column(c).to_numpy() for c in ("key", "ctx", "n"))
-        lead, rest = batch.column("lead").to_pylist(), batch.column("rest").to_pylist()
-        for i in range(0, len(key), 2048):
-            texts = [a + b for a, b in zip(lead[i : i + 2048], rest[i : i + 2048], strict=True)]
-            bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
-            raw = np.frombuffer(b"".join(texts), np.uint8)
-            back = np.array([len(x) for x in lead[i : i + 2048]])
-            offsets = np.arange(SHAPE.window)[None]
-            row, o = np.nonzero((offsets <= back[:, None]) & (np.diff(bounds)[:, None] - back[:, None] + offsets >= SPAN))
-            start = bounds[row] + back[row] - o
-            one, two = (repeats.Hashes(t[raw], powers).of(start, start + SPAN) for t in (TABLE, OTHER))
-            yield pa.RecordBatch.from_arrays([pa.array(key[i + row]), pa.array(ctx[i + row]), pa.array(n[i + row]), pa.array(o.astype(np.int32)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=["key", "ctx", "n", "o", "one", "two"])
+    for rows in repeats.parts(batches, ["key", "ctx", "n", "lead", "rest"]):
+        masks = shared_spans(rows["lead"], rows["rest"], rows["n"])
+        some = masks.any(1)
+        yield pa.RecordBatch.from_arrays([pa.array(rows["key"][some]), pa.array(rows["ctx"][some]), pa.array(masks[some, 0]), pa.array(masks[some, 1])], names=["key", "ctx", "m0", "m1"])
+
+
+def trim(lead: bytes, rest: bytes, low: int, high: int) -> tuple[bytes, bytes, bytes] | None:
+    """Of the spans that start low to high before the anchor: the bytes before it and from it on that they cover, and those that all of them cover."""
+    first, last = max(low, SPAN - len(rest)), min(high, len(lead))
+    if first > last:
+        return None
+    return lead[len(lead) - last :], rest[: SPAN - first], lead[len(lead) - low :] + rest[: SPAN - high]
+
+
+def _whole_masks():
+    """m0, m1: all spans that ``lead`` and ``rest`` have room for."""
+    first, last = F.greatest(F.lit(0), SPAN - F.octet_length("rest")), F.least(F.lit(SHAPE.window - 1), F.octet_length("lead"))
+    out = []
+    for low in (0, 64):
+        a, b = F.greatest(first - low, F.lit(0)), F.least(last - low, F.lit(63))
+        ones = F.call_function("shiftleft", F.call_function("shiftrightunsigned", F.lit(-1).cast("long"), 63 - (b - a)), a)
+        out.append(F.when(a <= b, ones).otherwise(F.lit(0).cast("long")).alias(f"m{low // 64}"))
+    return out
 
 
 def splitters(docs: DataFrame, found: DataFrame, buckets: int) -> list[bytes]:
@@ -154,21 +155,19 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     stand, any_many = repeats.standing(found, HOT)
     rows = repeats.surroundings(docs, stand, extract, bucket)
-    own = rows.filter("not many").select("key", "ctx", "n", "lead", "rest", "bucket")
-    inner = own.repartition(buckets, "bucket").mapInArrow(_inner, "key long, ctx long, m0 long, m1 long")
-    marked = inner.unionByName(_compared(rows)) if any_many else inner
-    marks = found.select("rid", "pos", "key", "ctx").join(marked.hint("shuffle_hash"), ["key", "ctx"])
+    own, marked = rows.filter("not many").select(*repeats.KIND, "bucket"), None
+    if any_many:
+        many = common.cut(rows.filter("many").select(*repeats.KIND))
+        split, equal = repeats.refined(many, SHAPE.window, HOT, trim)
+        own = own.unionByName(split.withColumn("bucket", F.pmod("part", F.lit(buckets)).cast("int")))
+        marked = equal.select("key", "ctx", *_whole_masks()).unionByName(many.filter("n > 1").select("key", "ctx", *_whole_masks()))
+    inner = own.repartitionById(buckets, "bucket").sortWithinPartitions("part").mapInArrow(_inner, "key long, ctx long, m0 long, m1 long")
+    if marked is not None:
+        inner = inner.unionByName(marked).groupBy("key", "ctx").agg(F.bit_or("m0").alias("m0"), F.bit_or("m1").alias("m1"))
+    marks = found.select("rid", "pos", "key", "ctx").join(inner.hint("shuffle_hash"), ["key", "ctx"])
     return marks.groupBy("rid").agg(F.collect_list(F.struct("pos", "m0", "m1")).alias("marks"))
 
 
-def _compared(rows: DataFrame) -> DataFrame:
-    """(key, ctx, m0, m1) of suffixes that very many share their leading bytes with."""
-    spans = rows.filter("many").select("key", "ctx", "n", "lead", "rest").mapInArrow(_across, "key long, ctx long, n long, o int, one long, two long")
-    twice = spans.groupBy("key", "o", "one", "two").agg(F.sum("n").alias("all")).filter("all > 1").select("key", "o", "one", "two")
-    bit = lambda low: F.when((F.col("o") >= low) & (F.col("o") < low + 64), F.expr(f"shiftleft(1L, o - {low})")).otherwise(F.lit(0).cast("long"))
-    return spans.join(twice, ["key", "o", "one", "two"], "left_semi").groupBy("key", "ctx").agg(F.bit_or(bit(0)).alias("m0"), F.bit_or(bit(64)).alias("m1"))
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: rid, doc_id, n_bytes, n_removed, n_spans, kept (bytes)."""
     source = common.keyed(docs, id_col, text_col)
