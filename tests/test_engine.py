@@ -237,3 +237,14 @@ def test_live_queries_leave_out_late_events_and_keep_large_numbers(spark, tmp_pa
     rows_ = spark.read.parquet(str(out)).filter("change = 'Value'").collect()
     assert sorted((r.ts // S, r.value) for r in rows_ if r.stream == "q") == [(5, "3"), (6, "4"), (7, "-1")]
     assert sorted((r.ts // S, r.value) for r in rows_ if r.stream == "s") == [(5, "0"), (6, str(big)), (7, str(big))]
+
+
+def test_live_queries_wait_for_a_watermark(spark, tmp_path):
+    src, out = tmp_path / "in", tmp_path / "out"
+    schema = "`__ts` long, `__seq` long, k string, v long"
+    for i, part in enumerate([[(3 * S, 0, "p", 3), (S, 1, "p", 1)], [(2 * S, 2, "p", 2), (9 * S, 3, "p", 9)]]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(src / f"b={i}"))
+    stream = spark.readStream.schema(schema + ", b int").option("maxFilesPerTrigger", 1).parquet(str(src)).drop("b")
+    query = fold.live("input v: Int64\noutput s := s[-1].defaults(to: 0) * 10 + v", stream, ["k"], delay_ms=4000).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(int(r.value) for r in spark.read.parquet(str(out)).filter("change = 'Value'").collect()) == [1, 12, 123]

@@ -64,13 +64,15 @@ def fold(text: str, events: DataFrame, keys: list[str] | None = None, end: int |
     return ordered.mapInArrow(run, SCHEMA)
 
 
-def live(text: str, stream: DataFrame, keys: list[str], timeout_ms: int | None = None, late: str = "raise") -> DataFrame:
+def live(text: str, stream: DataFrame, keys: list[str], timeout_ms: int | None = None, late: str = "raise", delay_ms: int = 0) -> DataFrame:
     """A streaming DataFrame of changes. stream: ``__ts``, ``__seq``, inputs and keys (a constant column for one global trace).
 
     Each key keeps its machine, with its clock, in the state store. Events of a batch are
     taken in order; deadlines before an event run when it comes, and where ``timeout_ms`` is
-    given those that passed without an event run when the time is up. An event before the
-    clock ends the query, or is left out where ``late`` is "drop".
+    given those that passed without an event run when the time is up. With ``delay_ms`` events
+    are held until one so much later has come (or the time is up), and taken in order of
+    time: a watermark. An event before the clock ends the query, or is left out where
+    ``late`` is "drop".
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
@@ -88,16 +90,23 @@ def live(text: str, stream: DataFrame, keys: list[str], timeout_ms: int | None =
         return int(x) if name in whole else _plain(x.item() if hasattr(x, "item") else x)
 
     def step(key, parts, state):
-        machine = Machine.restore(text, pickle.loads(state.get[0])) if state.exists else Machine(text)
+        kept, held = pickle.loads(state.get[0]) if state.exists else (None, [])
+        machine = Machine(text) if kept is None else Machine.restore(text, kept)
         out: list[tuple] = []
         if state.hasTimedOut:
-            out += rows_of(machine.advance(machine.now + timeout_ms * 1_000_000))
+            limit = machine.now + timeout_ms * 1_000_000
         else:
-            events = pd.concat(list(parts)).sort_values(["__ts", "__seq"], kind="stable")
-            for r in events.to_dict("records"):
-                if int(r["__ts"]) >= machine.now or late == "raise":
-                    out += rows_of(machine.event(int(r["__ts"]), {i: value(i, r[i]) for i in inputs}, int(r["__seq"])))
-        state.update((pickle.dumps(machine.state()),))
+            rows = pd.concat(list(parts)).to_dict("records")
+            held += [(int(r["__ts"]), int(r["__seq"]), {i: value(i, r[i]) for i in inputs}) for r in rows]
+            limit = max(ts for ts, _, _ in held) - delay_ms * 1_000_000
+        held.sort(key=lambda e: e[:2])
+        ready = sum(ts <= limit for ts, _, _ in held)
+        for ts, seq, row in held[:ready]:
+            if ts >= machine.now or late == "raise":
+                out += rows_of(machine.event(ts, row, seq))
+        if state.hasTimedOut:
+            out += rows_of(machine.advance(limit))
+        state.update((pickle.dumps((machine.state(), held[ready:])),))
         if timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=COLUMNS)
