@@ -1,7 +1,7 @@
 """Operations along the order of a trace, without putting a long trace into one task.
 
-An unkeyed trace has no column to partition a window by. It is cut into slices of equal
-time; windows run within slices, and what a slice takes over from those before it (a
+An unkeyed trace has no column to partition a window by. It is cut by time into slices of
+about equally many rows; windows run within slices, and what a slice takes over from those before it (a
 last value, a sum, the last n values) is computed from one small row per slice and
 joined back. Keyed relations are partitioned by their key instead.
 """
@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of an unkeyed trace that one slice should hold, and the most slices (rows of the carried table).
-SLICE_ROWS, MAX_SLICES = 2_000_000, 4096
+SLICE_ROWS, MAX_SLICES = 500_000, 65_536
 SLICE = "__slice"
 
 
@@ -169,9 +170,15 @@ class Trace:
 
 
 def slices(df: DataFrame, ts: str, low: int, high: int, rows: int, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` with the slice of each row, and whether there is more than one."""
+    """``df`` with the slice of each row, and whether there is more than one. Slices hold about equally many rows, so bursts are cut as well; rows of one time share a slice."""
     n = min(MAX_SLICES, max(1, -(-rows // slice_rows)))
     if n == 1:
         return df.withColumn(SLICE, F.lit(0)), False
-    width = max(1, -(-(high - low + 1) // n))
-    return df.withColumn(SLICE, F.call_function("div", F.col(ts) - F.lit(low), F.lit(width)).cast("int")), True
+    found = df.agg(F.percentile_approx(ts, [i / n for i in range(1, n)], 10_000).alias("bounds")).first()["bounds"] or []
+    bounds = sorted({float(b) for b in found} - {float(low)})
+    if not bounds:
+        return df.withColumn(SLICE, F.lit(0)), False
+    # a binary search for every row; times as doubles keep their order, and equal ones their slice
+    cut = Bucketizer(splits=[float("-inf"), *bounds, float("inf")], inputCol="__at", outputCol="__cut")
+    placed = cut.transform(df.withColumn("__at", F.col(ts).cast("double")))
+    return placed.withColumn(SLICE, F.col("__cut").cast("int")).drop("__at", "__cut"), True
