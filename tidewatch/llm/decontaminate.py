@@ -163,6 +163,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline: documents without any hit stay, with their columns; rows are tested where they are, without a shuffle."""
+    common.small_batches(spark)
     tests = common.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("item"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     total = tests.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-total // MAX_ITEM_BYTES))
