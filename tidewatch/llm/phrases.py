@@ -7,16 +7,17 @@ shard are streamed through to locate every occurrence. A shard holds the passage
 share the words from an anchor on, so every occurrence of a phrase is streamed through
 the automaton that has it, and an automaton's size is bounded (``PHRASES``) whatever the
 corpus. Passages with equal surroundings are one passage with the first of its places.
-Where more than ``HOT`` kinds of surroundings share an anchor's words, these are spread
-over all tasks and their phrases are matched by two independent 64-bit digests, of which
-every task forms the first place before they meet.
+Where more than ``HOT`` kinds of surroundings share an anchor's words, the shard is split
+into the phrases that start at most half a window before the anchor and the others, which
+have more words in common, again and again (``repeats.refined``); words decide there too.
 
 The first occurrence of a phrase, by (id, row, place), stays; words that another
 occurrence covers are removed.
 
 Defined results: null texts have no words; texts under ``SPAN`` words keep all words;
 null ids come first; rows that repeat an id follow each other in the order of the scan;
-an empty table gives no rows; further columns are ignored.
+very long texts are handled one at a time; an empty table gives no rows; further columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -31,9 +32,9 @@ from . import common, repeats
 
 SPAN = 20
 SHAPE = repeats.Shape(SPAN, 15, 3)
-HOT, PHRASES = 5_000, 20_000
+#: Kinds of surroundings of an anchor's words that one shard holds (about 100 MB of a task), and phrases of one automaton (about 40 MB).
+HOT, PHRASES = 32_768, 4_000
 TABLE = np.random.default_rng(21).integers(0, 2**64, 256, dtype=np.uint64)
-OTHER = np.random.default_rng(22).integers(0, 2**64, 256, dtype=np.uint64)
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 
@@ -50,11 +51,11 @@ def word_edges(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.flatnonzero(opens), np.flatnonzero(closes) + 1
 
 
-def symbols(bodies: list[bytes], powers, table=TABLE) -> tuple[np.ndarray, np.ndarray]:
+def symbols(bodies: list[bytes], powers) -> tuple[np.ndarray, np.ndarray]:
     raw = np.frombuffer(b"".join(bodies), np.uint8)
     bounds = np.concatenate(([0], np.cumsum([len(b) for b in bodies])))
     start, stop = word_edges(raw, bounds)
-    values = repeats.mix(repeats.Hashes(table[raw], powers).of(start, stop) + (stop - start).astype(np.uint64))
+    values = repeats.mix(repeats.Hashes(TABLE[raw], powers).of(start, stop) + (stop - start).astype(np.uint64))
     return values, np.searchsorted(start, bounds)
 
 
@@ -72,13 +73,12 @@ def spans_of(lead: bytes, rest: bytes) -> list[tuple[int, bytes]]:
 
 def locate(passages: list[tuple[bytes, bytes]], places: list[tuple]) -> list[int]:
     """For passages of a shard: bit o is set if the span that starts o words before the anchor occurs earlier. places: (doc_id, rid, pos) of the first of each."""
-    seen: dict[bytes, int] = {}
-    own = [spans_of(*p) for p in passages]
-    for spans in own:
-        for _, phrase in spans:
-            seen[phrase] = seen.get(phrase, 0) + 1
+    once, twice = set(), set()  # hashes; they only choose the phrases
+    for p in passages:
+        for _, phrase in spans_of(*p):
+            (twice if hash(phrase) in once else once).add(hash(phrase))
     masks = [0] * len(passages)
-    recurring = [p for p, n in seen.items() if n > 1]
+    recurring = list(dict.fromkeys(phrase for p in passages for _, phrase in spans_of(*p) if hash(phrase) in twice)) if twice else []
     for i in range(0, len(recurring), PHRASES):
         machine = ahocorasick.Automaton()
         some = recurring[i : i + PHRASES]
@@ -104,40 +104,27 @@ def locate(passages: list[tuple[bytes, bytes]], places: list[tuple]) -> list[int
     return masks
 
 
+def trim(lead: bytes, rest: bytes, low: int, high: int) -> tuple[bytes, bytes, bytes] | None:
+    """Of the phrases that start low to high words before the anchor: the words before it and from it on that they cover, and those that all of them cover."""
+    before, after = lead.split(), rest.split()
+    first, last = max(low, SPAN - len(after)), min(high, len(before))
+    if first > last:
+        return None
+    return b" ".join(before[len(before) - last :]), b" ".join(after[: SPAN - first]), b" ".join(before[len(before) - low :] + after[: SPAN - high])
+
+
 def _shards(batches):
-    rows = repeats.batched(batches, ["key", "ctx", "doc_id", "rid", "pos", "lead", "rest"])
-    if not rows:
-        return
-    order = np.argsort(rows["key"], kind="stable")
-    bounds = np.flatnonzero(np.concatenate(([True], rows["key"][order][1:] != rows["key"][order][:-1], [True])))
-    places = list(zip(rows["doc_id"].tolist(), rows["rid"].tolist(), rows["pos"].tolist(), strict=True))
-    step = [0]  # groups of whole keys, of about a thousand passages
-    for b in bounds[1:].tolist():
-        if b - step[-1] >= 1000 or b == len(order):
-            step.append(b)
-    for s, e in zip(step[:-1], step[1:], strict=True):
-        some = order[s:e].tolist()
-        masks = np.array(locate([(rows["lead"][i], rows["rest"][i]) for i in some], [places[i] for i in some]), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(rows["key"][some]), pa.array(rows["ctx"][some]), pa.array(masks)], names=["key", "ctx", "mask"])
-
-
-def _digests(batches):
-    powers = repeats.Powers()
-    names = ["key", "ctx", "doc_id", "rid", "pos"]
-    for batch in batches:
-        cols = {c: batch.column(c).to_numpy() for c in names}
-        out, row = [], []
-        for i, (lead, rest) in enumerate(zip(batch.column("lead").to_pylist(), batch.column("rest").to_pylist(), strict=True)):
-            for o, phrase in spans_of(lead, rest):
-                out.append((o, phrase))
-                row.append(i)
-        if not out:
-            continue
-        raw = np.frombuffer(b"".join(p for _, p in out), np.uint8)
-        bounds = np.concatenate(([0], np.cumsum([len(p) for _, p in out])))
-        one, two = (repeats.Hashes(t[raw], powers).of(bounds[:-1], bounds[1:]) for t in (TABLE, OTHER))
-        o = np.array([x for x, _ in out], np.int32)
-        yield pa.RecordBatch.from_arrays([*(pa.array(cols[c][row]) for c in names[:4]), pa.array((cols["pos"][row] - o).astype(np.int64)), pa.array(o), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], names=[*names, "o", "one", "two"])
+    for rows in repeats.parts(batches, ["key", "ctx", "doc_id", "rid", "pos", "lead", "rest"], 1_000):
+        places = list(zip(rows["doc_id"].tolist(), rows["rid"].tolist(), rows["pos"].tolist(), strict=True))
+        masks = np.array(locate(list(zip(rows["lead"], rows["rest"], strict=True)), places), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(rows["key"]), pa.array(rows["ctx"]), pa.array(masks)], names=["key", "ctx", "mask"])
+
+
+def _whole_mask():
+    """All phrases that ``lead`` and ``rest`` have room for."""
+    words = lambda c: F.when(F.octet_length(c) == 0, 0).otherwise(F.size(F.split(F.col(c).cast("string"), " ")))
+    first, last = F.greatest(F.lit(0), SPAN - words("rest")), F.least(F.lit(SHAPE.window - 1), words("lead"))
+    return F.call_function("shiftleft", F.call_function("shiftleft", F.lit(1).cast("long"), last - first + 1) - 1, first)
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -145,9 +132,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     found = repeats.candidates(docs, SHAPE, symbols)
     stand, any_many = repeats.standing(found, HOT)
     rows = repeats.surroundings(docs, stand.filter("differ"), extract)
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    located = rows.filter("not many").repartition(buckets, "key").mapInArrow(_shards, "key long, ctx long, mask long")
-    masks = (located.unionByName(_compared(rows)) if any_many else located).filter("mask <> 0")
+    own, equal = rows.filter("not many").select(*repeats.KIND), None
+    if any_many:
+        split, equal = repeats.refined(rows.filter("many").select(*repeats.KIND), SHAPE.window, HOT, trim)
+        own = own.unionByName(split)
+    masks = own.repartition("part").sortWithinPartitions("part").mapInArrow(_shards, "key long, ctx long, mask long").filter("mask <> 0")
+    if equal is not None:
+        late = equal.filter(~F.col("first")).select("key", "ctx", _whole_mask().alias("mask"))
+        masks = masks.unionByName(late).groupBy("key", "ctx").agg(F.bit_or("mask").alias("mask"))
     # an anchor that is not the first of its surroundings has an earlier occurrence of every span
     mine = stand.select("key", "ctx", F.col("rid").alias("first_rid"), F.col("pos").alias("first_pos"))
     first_of = found.select("rid", "pos", "key", "ctx").join(mine.hint("shuffle_hash"), ["key", "ctx"])
@@ -156,14 +148,6 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return marks.filter("mask <> 0").groupBy("rid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
 
 
-def _compared(rows: DataFrame) -> DataFrame:
-    """(key, ctx, mask) of passages that very many share an anchor's words with."""
-    spans = rows.filter("many").select("key", "ctx", "doc_id", "rid", "pos", "lead", "rest").mapInArrow(_digests, "key long, ctx long, doc_id long, rid long, pos long, o int, one long, two long")
-    first = spans.groupBy("one", "two").agg(F.min(F.struct("doc_id", "rid", "pos")).alias("first"))
-    late = spans.join(first, ["one", "two"]).filter(F.struct("doc_id", "rid", "pos") != F.col("first"))
-    return late.groupBy("key", "ctx").agg(F.bit_or(F.expr("shiftleft(1L, o)")).alias("mask"))
-
-
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: rid, doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     source = common.keyed(docs, id_col, text_col)
