@@ -458,3 +458,16 @@ def test_very_long_texts(spark, tmp_path):
     assert gone[1] == (len(long), 1) and gone[2] == (len(long), 1) and gone[3] == (len(blob), 1)
     assert simhash.stage(spark, df, "").count() == 3 and exact.stage(spark, df, "").count() == 4
     assert decontaminate.find_leaks(df, spark.createDataFrame([(1, long[:200])], "item_id long, text string")).filter("size(items) > 0").count() == 2
+
+
+def test_phrases_leave_no_shuffle_files(docs, spark):
+    """What a step of op2 has shuffled is off the disk when the next begins."""
+
+    def shuffled():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(files.size()) if (name := files.apply(i).getName()).startswith("shuffle_")}
+
+    before = shuffled()
+    assert phrases.repeated_spans(repeats.common.keyed(docs[2])).count() > 0
+    left = [name for name in shuffled() - before if name.endswith(".data")]
+    assert len(left) <= 4, left  # those of the count itself

@@ -131,7 +131,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """(rid, marks): per document the anchors with spans that occur earlier, as array of (pos, mask). docs: rid, doc_id, body."""
     found = repeats.candidates(docs, SHAPE, symbols)
     stand, any_many = repeats.standing(found, HOT)
-    rows = repeats.surroundings(docs, stand.filter("differ"), extract)
+    stand = common.freed(stand)
+    asked = stand.filter("differ")
+    some = common.marked(docs, common.bitmap(asked, "rid"), "rid").filter("open").drop("open")  # other texts aren't shuffled
+    rows = repeats.surroundings(some, asked, extract)
     own, equal = rows.filter("not many").select(*repeats.KIND), None
     if any_many:
         split, equal = repeats.refined(rows.filter("many").select(*repeats.KIND), SHAPE.window, HOT, trim)
@@ -140,18 +143,22 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     if equal is not None:
         late = equal.filter(~F.col("first")).select("key", "ctx", _whole_mask().alias("mask"))
         masks = masks.unionByName(late).groupBy("key", "ctx").agg(F.bit_or("mask").alias("mask"))
+    masks = common.freed(masks)  # so that texts and passages aren't on disk together with what follows
     # an anchor that is not the first of its surroundings has an earlier occurrence of every span
     mine = stand.select("key", "ctx", F.col("rid").alias("first_rid"), F.col("pos").alias("first_pos"))
     first_of = found.select("rid", "pos", "key", "ctx").join(mine.hint("shuffle_hash"), ["key", "ctx"])
     same = (F.col("rid") == F.col("first_rid")) & (F.col("pos") == F.col("first_pos"))
     marks = first_of.join(masks.hint("shuffle_hash"), ["key", "ctx"], "left").select("rid", "pos", F.when(same, F.coalesce("mask", F.lit(0).cast("long"))).otherwise(F.lit((1 << SHAPE.window) - 1).cast("long")).alias("mask"))
-    return marks.filter("mask <> 0").groupBy("rid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks"))
+    return common.freed(marks.filter("mask <> 0").groupBy("rid").agg(F.collect_list(F.struct("pos", "mask")).alias("marks")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: rid, doc_id, n_words, n_removed, kept (the words that stay, joined by one space)."""
     source = common.keyed(docs, id_col, text_col)
-    both = repeats.joined(source, repeated_spans(source), "marks", "left")
+    spans = repeated_spans(source)
+    rows = common.marked(source, common.bitmap(spans, "rid"), "rid")
+    whole = rows.filter("not open").select("rid", "doc_id", "body", F.lit(None).cast(spans.schema["marks"].dataType).alias("marks"))
+    both = repeats.joined(rows.filter("open"), spans, "marks", "left").unionByName(whole)
 
     def run(batches):
         for batch in batches:

@@ -153,8 +153,8 @@ def candidates(docs: DataFrame, shape: Shape, symbols: Callable) -> DataFrame:
 
     anchors = docs.mapInArrow(run, "doc_id long, rid long, pos int, key long, ctx long")
     # written first, so that the join below reads it by an exchange of its own and very frequent keys can be split
-    repeated = common.cut(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
-    return common.cut(anchors.join(repeated.hint("shuffle_hash"), "key", "left_semi").select("doc_id", "rid", "pos", "key", "ctx"))
+    repeated = common.freed(anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key"))
+    return common.freed(anchors.join(repeated.hint("shuffle_hash"), "key", "left_semi").select("doc_id", "rid", "pos", "key", "ctx"))
 
 
 def standing(found: DataFrame, hot: int) -> tuple[DataFrame, bool]:
@@ -162,7 +162,7 @@ def standing(found: DataFrame, hot: int) -> tuple[DataFrame, bool]:
     first = F.min(F.struct("doc_id", "rid", "pos"))  # null ids come first
     rows = found.groupBy("key", "ctx").agg(F.count(F.lit(1)).alias("n"), first.alias("r"))
     kinds = found.groupBy("key").agg(F.approx_count_distinct("ctx", 0.02).alias("about"), F.min("ctx").alias("low"), F.max("ctx").alias("high"))
-    kinds = common.cut(kinds.select("key", (F.col("low") != F.col("high")).alias("differ"), (F.col("about") > hot).alias("many")))
+    kinds = common.freed(kinds.select("key", (F.col("low") != F.col("high")).alias("differ"), (F.col("about") > hot).alias("many")))
     rows = rows.join(kinds.hint("shuffle_hash"), "key").select("key", "ctx", "n", "r.rid", "r.pos", "differ", "many")
     return rows, not kinds.filter("many").isEmpty()
 
