@@ -471,3 +471,29 @@ def test_phrases_leave_no_shuffle_files(docs, spark):
     assert phrases.repeated_spans(repeats.common.keyed(docs[2])).count() > 0
     left = [name for name in shuffled() - before if name.endswith(".data")]
     assert len(left) <= 4, left  # those of the count itself
+
+
+def test_similar_texts_are_linked_by_simhash(spark):
+    """The first links are those of BK-trees over fingerprints of the shingles, not of any texts that share a shingle."""
+    import numpy as np
+
+    r = random.Random(21)
+    word = lambda: f"w{r.randint(0, 10**6)}"
+    line, texts = [word() for _ in range(8)], []
+    for _ in range(40):
+        w = [word() for _ in range(150)]
+        texts += [" ".join(w + line), " ".join([*w[:70], word(), *w[71:], *line])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    ids = {r.rid: r.doc_id for r in df.select("doc_id").withColumn("rid", F.monotonically_increasing_id()).collect()}
+    shards = simhash.keys(simhash.common.keyed(df), 0.8, 5)
+    fp = {}
+    for row in shards.collect():
+        h = [int(x) for x in simhash.shingles(texts[ids[row.rid]].encode(), 5)]
+        fp[row.rid] = row.fp & (2**64 - 1)
+        assert fp[row.rid] == sum(1 << j for j in range(64) if 2 * sum(x >> j & 1 for x in h) > len(h))
+    met, found = simhash.linked_by_trees(shards.repartition("key").sortWithinPartitions("key", "rid"), 0.8)
+    pairs = [(x.a, x.b) for x in found.collect()]
+    assert len(pairs) >= 36 and all(ids[a] // 2 == ids[b] // 2 and (fp[a] ^ fp[b]).bit_count() <= simhash.NEAR for a, b in pairs)
+    assert {x.rid for x in met.select("rid").collect()} == set(fp)  # the others are left to the exact rounds
+    some = np.array([5, 7, 5, 2**63, 2**40 - 1, 5], np.uint64)
+    assert simhash.nearest(some, np.array([0, 4, 6])).tolist() == [0, 0, 0, 0, 4, 5]

@@ -54,6 +54,11 @@ def fingerprint(body: bytes, width: int) -> int:
         stops = [e - 1 for e in accumulate([len(w) + 1 for w in words])]
         starts = [0, *[e + 1 for e in stops[: n - 1]]]
         hashes = np.fromiter((digest(joined[s:e], 42) for s, e in zip(starts, stops[width - 1 :], strict=True)), np.uint64, n)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have, as a signed long."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 255):  # so that a byte holds every sum
         ones += np.unpackbits(hashes[i : i + 255].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
@@ -143,6 +148,8 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 #: For similar texts: documents whose shingles are counted, and how many shingles that recur there are told apart.
 SAMPLE, COMMON = 8_000, 100_000
+#: Fingerprints of similar texts differ in fewer bits, but for a few in a hundred pairs at the threshold.
+NEAR = 14
 #: Bytes of a parity bitmap of shingles.
 PARITY = 256
 ODD = np.random.default_rng(37).integers(0, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -258,7 +265,7 @@ def common_shingles(source: DataFrame, n_docs: int, width: int) -> tuple[np.ndar
 
 
 def keys(source: DataFrame, similarity: float, width: int) -> DataFrame:
-    """(key, rid, n, room): the shards of a text, its number of shingles, and how many of them texts that meet first in the shard can share.
+    """(key, rid, n, room, fp): the shards of a text, its number of shingles, how many of them texts that meet first in the shard can share, and the SimHash of its shingles.
 
     Shards are the first shingles of a text in an order of all shingles, rare ones before
     common ones. So many of them are taken that the others are too few for the similarity,
@@ -268,10 +275,11 @@ def keys(source: DataFrame, similarity: float, width: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out, sizes, room = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int32)]
+            out, sizes, room, fps = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int32)], []
             for body in batch.column("body"):
                 h = shingles(body.as_py(), width)
                 n = len(h)
+                fps.append(majority(h))
                 first = n - math.ceil(similarity * n - 1e-6) + 1 if n else 0
                 if len(hot) and n:
                     at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
@@ -280,9 +288,48 @@ def keys(source: DataFrame, similarity: float, width: int) -> DataFrame:
                 sizes.append((first, n))
                 room.append(np.arange(n, n - first, -1, dtype=np.int32))
             many, n = np.array(sizes, np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(batch.column("rid").to_numpy(), many)), pa.array(np.repeat(n, many).astype(np.int32)), pa.array(np.concatenate(room))], names=["key", "rid", "n", "room"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out)), pa.array(np.repeat(batch.column("rid").to_numpy(), many)), pa.array(np.repeat(n, many).astype(np.int32)), pa.array(np.concatenate(room)), pa.array(np.repeat(np.array(fps, np.int64), many))], names=["key", "rid", "n", "room", "fp"])
+
+    return source.mapInArrow(run, "key long, rid long, n int, room int, fp long")
+
+
+def nearest(fp: np.ndarray, bounds: np.ndarray, radius: int = NEAR) -> np.ndarray:
+    """For members of shards (fp unsigned, they may repeat): the place of the first that the BK-tree of the shard links each with."""
+    shard = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    order = np.lexsort((fp, shard))
+    new = np.concatenate(([True], (fp[order][1:] != fp[order][:-1]) | (shard[order][1:] != shard[order][:-1])))
+    distinct = order[new]
+    edges = np.searchsorted(shard[distinct], np.arange(len(bounds)))
+    label = Forest(fp[distinct], edges).link(radius)[np.cumsum(new) - 1]
+    least = np.full(len(distinct), len(fp))
+    np.minimum.at(least, label, order)
+    out = np.empty(len(fp), np.int64)
+    out[order] = least[label]
+    return out
 
-    return source.mapInArrow(run, "key long, rid long, n int, room int")
+
+def linked_by_trees(shards: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of ``keys`` in whole sorted shards: the shards (key, rid, n, room) that may hold similar texts, and pairs (a, b), each text with the one that the BK-trees of most of its shards link it with."""
+
+    def run(batches):
+        for t, bounds in _whole_shards(batches):
+            size = np.diff(bounds)
+            t = t.filter(pa.array(np.repeat(size > 1, size))).combine_chunks()
+            size = size[size > 1]
+            if not len(size):
+                continue
+            bounds = np.concatenate(([0], np.cumsum(size)))
+            rid, n, room, fp = (t.column(c).to_numpy() for c in ("rid", "n", "room", "fp"))
+            place, head, hub = np.arange(len(rid)), np.repeat(bounds[:-1], size), nearest(fp.view(np.uint64), bounds)
+            asked = (hub != place) & possible(n[hub], room[hub], n, room, similarity)
+            second = (head != place) & possible(n[head], room[head], n, room, similarity)
+            keep = np.repeat((size > 2) | np.logical_or.reduceat(second, bounds[:-1]), size)
+            columns = ["key", "rid", "n", "room"]
+            yield pa.RecordBatch.from_arrays([*(t.column(c).combine_chunks() for c in columns), pa.array(np.where(asked, rid[hub], -1))], names=[*columns, "hub"]).filter(pa.array(keep))
+
+    met = common.freed(shards.mapInArrow(run, "key long, rid long, n int, room int, hub long"))
+    asked = met.filter("hub >= 0").groupBy("rid", "hub").agg(F.count(F.lit(1)).alias("often"))
+    return met.drop("hub"), common.freed(asked.groupBy(F.col("rid").alias("b")).agg(F.max_by("hub", F.struct("often", -F.col("hub"))).alias("a")))
 
 
 def packed(source: DataFrame, who: DataFrame, width: int | None = None) -> DataFrame:
@@ -299,7 +346,7 @@ def packed(source: DataFrame, who: DataFrame, width: int | None = None) -> DataF
 
     who = common.cut(who.distinct())
     some = common.marked(source.select("rid", "body"), common.bitmap(who, "rid"), "rid").filter("open").drop("open")
-    return common.cut(some.join(who.hint("shuffle_hash"), "rid", "left_semi").mapInArrow(run, "rid long, body binary, bits binary"))
+    return common.freed(some.join(who.hint("shuffle_hash"), "rid", "left_semi").mapInArrow(run, "rid long, body binary, bits binary"))
 
 
 def verified(found: DataFrame, texts: DataFrame, similarity: float, width: int) -> DataFrame:
@@ -317,14 +364,16 @@ def verified(found: DataFrame, texts: DataFrame, similarity: float, width: int)
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (texts.select(F.col("rid").alias(c), F.col("body").alias(f"body_{c}")) for c in "ab")
-    return common.cut(found.join(left, "a").join(right, "b").mapInArrow(decide, "a long, b long"))
+    return common.freed(found.join(left, "a").join(right, "b").mapInArrow(decide, "a long, b long"))
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links (a, b), row ids of texts whose sets of ``width``-word shingles have at least this Jaccard similarity.
 
-    Their closure is that of all such pairs. First each text is compared with one: with the
-    text that is the first member of most of its shards. Later rounds leave out pairs that
+    Their closure is that of all such pairs. First SimHash links them: shards of texts that
+    have a shingle in common hold their fingerprints in BK-trees, which link all within
+    ``NEAR`` bits, and the shingles decide on each text and the one it is linked with. What
+    fingerprints miss is found exactly: later rounds leave out pairs that
     verified links join and those that sizes or parity bitmaps rule out (none of that
     similarity). The second compares a forest of the others, one pair for any two groups;
     the third compares all that are left. The shingles decide.
@@ -332,15 +381,6 @@ def similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: st
     source = common.keyed(docs, id_col, text_col)
     shards = keys(source, similarity, width).repartition("key").sortWithinPartitions("key", "rid")
 
-    def first(batches):
-        for t, bounds in _whole_shards(batches):
-            rid, n, room = (t.column(c).to_numpy() for c in ("rid", "n", "room"))
-            size = np.diff(bounds)
-            hub = np.repeat(bounds[:-1], size)
-            asked = (hub != np.arange(len(rid))) & possible(n[hub], room[hub], n, room, similarity)
-            keep = np.repeat((size > 2) | np.logical_or.reduceat(asked, bounds[:-1]), size)
-            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks() for c in t.column_names] + [pa.array(np.where(asked, rid[hub], -1))], names=[*t.column_names, "hub"]).filter(pa.array(keep))
-
     def unsettled(batches):
         for t, bounds in _whole_shards(batches):
             root, size = t.column("root").to_numpy(), np.diff(bounds)
@@ -362,22 +402,20 @@ def similar(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: st
             pairs = np.unique(np.concatenate([np.sort(rid[at], 1), np.sort(root[at], 1)], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, k]) for k in range(4)], names=["a", "b", "one", "two"])
 
-    met = common.cut(shards.mapInArrow(first, "key long, rid long, n int, room int, hub long"))
-    asked = met.filter("hub >= 0").groupBy("rid", "hub").agg(F.count(F.lit(1)).alias("often"))
-    found = common.cut(asked.groupBy(F.col("rid").alias("b")).agg(F.max_by("hub", F.struct("often", -F.col("hub"))).alias("a")))
+    open_rows, found = linked_by_trees(shards, similarity)
     links = verified(found, packed(source, found.select(F.col("a").alias("rid")).unionByName(found.select(F.col("b").alias("rid")))), similarity, width)
-    open_rows, texts = met.drop("hub"), None
+    texts = None
     for spanning in (True, False):
         roots = graph.components(links).withColumnRenamed("node", "rid")
         rows = open_rows.join(roots, "rid", "left").select("key", "rid", "n", "room", F.coalesce("root", "rid").alias("root"))
-        open_rows = common.cut(rows.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(unsettled, "key long, rid long, n int, room int, root long"))
+        open_rows = common.freed(rows.repartition("key").sortWithinPartitions("key", "rid").mapInArrow(unsettled, "key long, rid long, n int, room int, root long"))
         if texts is None:  # the last round has no other texts
             texts = packed(source, open_rows.select("rid"), width)
         dealt = open_rows.join(texts.select("rid", "bits"), "rid").repartition("key").sortWithinPartitions("key", "rid")
         found = dealt.mapInArrow(partial(rest, spanning=spanning), "a long, b long, one long, two long")
         if spanning:
             found = found.groupBy("one", "two").agg(F.min(F.struct("a", "b")).alias("p")).select("p.*")
-        links = links.unionByName(verified(common.cut(found.select("a", "b").distinct()), texts, similarity, width))
+        links = links.unionByName(verified(common.freed(found.select("a", "b").distinct()), texts, similarity, width))
         open_rows = open_rows.drop("root")
     return links
 
