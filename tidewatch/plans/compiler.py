@@ -140,11 +140,11 @@ class Compiler:
             self.low, self.end, self.n = low or 0, high, n
             if periods:
                 rows = self._with_ticks(rows, periods, high)
-            rows, sliced = slices(rows, TS, low or 0, high, n, *([slice_rows] if slice_rows else []))
+            rows, n_slices = slices(rows, TS, low or 0, high, n, *([slice_rows] if slice_rows else []))
         else:
-            sliced = False
+            n_slices = 1
             rows = rows.withColumn(SLICE, F.lit(0))
-        self.trace = Trace(rows, ORDER, None, sliced)
+        self.trace = Trace(rows, ORDER, None, n_slices)
 
     def _needs_order(self) -> bool:
         return any(x.kind == "method" and x.value in ("hold", "offset", "aggregate") for s in self.spec.outputs for c in (s.spawn, *s.evals, s.close) if c for e in (c.when, c.value) if e for x in walk(e)) or any(s.spawn for s in self.spec.outputs)
@@ -652,22 +652,33 @@ class Env:
         x, kind = e.args[0], self.type(e.args[0])
         if (n := e.arg("over_discrete") or e.arg("over_exactly_discrete")) is not None:
             self._own_rows(x)
-            framed = None
-            if name in aggregates.FRAMED:
-                framed = self.trace.frame(self.col(x), n.value, lambda v, w: aggregates.over_frame(name, v, kind, w))
-            if framed is not None:
-                held = self.trace._new(framed)
-                value = aggregates.when_empty(name, held["v"], kind)
-                return value if e.arg("over_discrete") is not None else F.when(held["n"] == n.value, value)
-            values = self.trace.recent(self.col(x), n.value)
-            held = self.trace.running(values, "last")
-            value = aggregates.when_empty(name, aggregates.over_array(name, held, kind), kind)
-            return value if e.arg("over_discrete") is not None else F.when(F.size(held) == n.value, value)
+            held = self._framed(x, n.value, name, kind)
+            value = held[name] if name in aggregates.FRAMED else aggregates.over_array(name, held["values"], kind)
+            value = aggregates.when_empty(name, value, kind)
+            return value if e.arg("over_discrete") is not None else F.when(held["n"] == n.value, value)
         if e.arg("over_instances") is not None:
             return self._instances(e, name, kind)
         exact = e.arg("over_exactly")
         return self._time_window(x, (exact or e.arg("over")).value, name, kind, exact is not None)
 
+    def _framed(self, x: E, n: int, name: str, kind) -> Column:
+        """A struct of aggregations over the last n values of x: of a stream by name all that the specification asks for, at once."""
+        if x.kind == "name" and (x.value, n) in self.trace.framed:
+            return self.trace.framed[x.value, n]
+        names = {name}
+        if x.kind == "name":
+            for e in (y for s in self.spec.outputs for c in (s.spawn, *s.evals, s.close) if c for z in (c.when, c.value) if z for y in walk(z)):
+                size = (e.arg("over_discrete") or e.arg("over_exactly_discrete")) if e.kind == "method" and e.value == "aggregate" else None
+                if size is not None and e.args[0] == x and size.value == n:
+                    names.add(aggregates.canonical(e.arg("using").value))
+        over = {a: (lambda v, w, a=a: aggregates.over_frame(a, v, kind, w)) for a in sorted(names) if a in aggregates.FRAMED}
+        if len(over) < len(names):
+            over["values"] = lambda v, w: F.collect_list(v).over(w)
+        held = self.trace.frame(self.col(x), n, over)
+        if x.kind == "name":
+            self.trace.framed[x.value, n] = held
+        return held
+
     def _time_window(self, x: E, span: int, name: str, kind, exactly: bool) -> Column:
         """Values of (t - span, t] at every tick t, through panes where partial results merge."""
         if self.trace.keys is not None:

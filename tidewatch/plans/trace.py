@@ -1,9 +1,11 @@
 """Operations along the order of a trace, without putting a long trace into one task.
 
 An unkeyed trace has no column to partition a window by. It is cut into slices of equal
-time; windows run within slices, and what a slice takes over from those before it (a
-last value, a sum, the last n values) is computed from one small row per slice and
-joined back. Keyed relations are partitioned by their key instead.
+time; windows run within slices. What a slice takes over from those before it is computed
+at once, taken to the driver and put back as a small table: one row per slice (a last
+value, a sum) is joined, the last n values are rows of the next slice for a while. So a
+plan holds the trace once, however many streams carry something over. Keyed relations are
+partitioned by their key instead.
 """
 
 from __future__ import annotations
@@ -21,9 +23,14 @@ SLICE = "__slice"
 class Trace:
     """A DataFrame with order columns; methods add columns to ``df`` and return them."""
 
-    def __init__(self, df: DataFrame, order: list[str], keys: list[str] | None = None, sliced: bool = False):
-        self.df, self.order, self.keys, self.sliced = df, order, keys, sliced
+    def __init__(self, df: DataFrame, order: list[str], keys: list[str] | None = None, slices: int = 1):
+        self.df, self.order, self.keys, self.slices = df, order, keys, slices
         self.n = 0
+        self.framed: dict[tuple[str, int], Column] = {}
+
+    @property
+    def sliced(self) -> bool:
+        return self.slices > 1 and self.keys is None
 
     def _new(self, col: Column) -> Column:
         self.n += 1
@@ -49,14 +56,17 @@ class Trace:
 
     def _carried(self, own: Column, over) -> Column | None:
         """over(window of earlier slices) of a per-slice aggregate, on every row."""
-        if not self.sliced or self.keys is not None:
+        if not self.sliced:
             return None
         per = self.df.groupBy(SLICE).agg(own.alias("own"))
+        return self._joined(per.select(SLICE, over(F.col("own"), Window.orderBy(SLICE))))
+
+    def _joined(self, per: DataFrame) -> Column:
+        """The second column of a table with one short row per slice, at most MAX_SLICES of them, on every row."""
         self.n += 1
         name = f"__c{self.n}_{len(self.df.columns)}"
-        # one short row per slice, at most MAX_SLICES of them
-        per = per.select(SLICE, over(F.col("own"), Window.orderBy(SLICE)).alias(name))
-        self.df = self.df.join(F.broadcast(per), SLICE, "left")
+        per = per.toDF(SLICE, name)
+        self.df = self.df.join(F.broadcast(_at_hand(per, per.collect())), SLICE, "left")
         return F.col(name)
 
     def running(self, x: Column, how: str) -> Column:
@@ -77,16 +87,12 @@ class Trace:
         """Sum of the values of x up to each row since ``part``, a count that never falls, was what it is there. No sum goes over a change of it, so nothing is subtracted."""
         x, part = self._new(x), self._new(part)
         local = self._new(F.sum(x).over(self.window(part).rowsBetween(Window.unboundedPreceding, 0)))
-        if not self.sliced or self.keys is not None:
+        if not self.sliced:
             return local
         per = self.df.groupBy(SLICE, part.alias("part")).agg(F.sum(x).alias("own")).groupBy(SLICE).agg(F.max("part").alias("last"), F.max_by("own", "part").alias("own"))
-        self.n += 1
-        name = f"__r{self.n}_{len(self.df.columns)}"
         carried = F.struct("last", F.sum("own").over(Window.partitionBy("last").orderBy(SLICE)).alias("sum"))
-        # one short row per slice
-        per = per.withColumn("upto", carried).select(SLICE, F.lag("upto").over(Window.orderBy(SLICE)).alias(name))
-        self.df = self.df.join(F.broadcast(per), SLICE, "left")
-        earlier = F.when(F.col(name)["last"] == part, F.col(name)["sum"])
+        upto = self._joined(per.withColumn("upto", carried).select(SLICE, F.lag("upto").over(Window.orderBy(SLICE))))
+        earlier = F.when(upto["last"] == part, upto["sum"])
         return self._new(F.coalesce(earlier + local, earlier, local))
 
     def latest(self, values: DataFrame, keys: dict[str, Column], columns: dict[str, str], ends: DataFrame | None = None) -> dict[str, Column]:
@@ -118,60 +124,61 @@ class Trace:
         self.df = both.drop(*parts, *named.values(), f"{mark}_tag", f"{mark}_spread")
         return {c: F.col(f"{mark}_o_{c}")["v"] if how == "last" else F.col(f"{mark}_o_{c}") for c, how in columns.items()}
 
-    def recent(self, x: Column, n: int) -> Column:
-        """On rows where x isn't null: the array of the last n such values, oldest first; else null."""
-        x = self._new(x)
-        fresh = self._new(x.isNotNull())
-        tail = None
-        if self.sliced and self.keys is None:
-            back = Window.partitionBy(SLICE, fresh).orderBy(*[F.desc(c) for c in self.order])
-            ranked = self.df.filter(fresh).withColumn("__r", F.row_number().over(back)).filter(F.col("__r") <= n)
-            per = ranked.groupBy(SLICE).agg(F.transform(F.sort_array(F.collect_list(F.struct(*self.order, x.alias("v")))), lambda s: s["v"]).alias("own"))
-            # a slice with values has one at least, so the last n of them hold all that is taken over
-            whole = F.flatten(F.collect_list("own").over(Window.orderBy(SLICE).rowsBetween(-(n - 1), 0)))
-            after = per.select(SLICE, F.slice(whole, F.greatest(F.lit(1), F.size(whole) - n + 1), F.lit(n)).alias("after"))
-            every = self.df.select(SLICE).distinct().join(after, SLICE, "left")
-            self.n += 1
-            name = f"__t{self.n}_{len(self.df.columns)}"
-            per = every.select(SLICE, F.last("after", ignorenulls=True).over(Window.orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)).alias(name))
-            self.df = self.df.join(F.broadcast(per), SLICE, "left")
-            tail = F.col(name)
-        local = F.collect_list(x).over(self.window(fresh).rowsBetween(-(n - 1), 0))
-        if tail is not None:
-            whole = F.concat(F.coalesce(tail, F.slice(local, 1, 0)), local)
-            local = F.slice(whole, F.greatest(F.lit(1), F.size(whole) - n + 1), F.lit(n))
-        return self._new(F.when(fresh, local))
-
-    def frame(self, x: Column, n: int, over: Callable) -> Column | None:
-        """over(x, window) of the last n values of x, as of its last value; None where values are carried over slices (see ``recent``)."""
-        if self.sliced and self.keys is None:
-            return None
-        x = self._new(x)
-        w = self.window(x.isNotNull())
-        value = F.struct(over(x, w.rowsBetween(-(n - 1), 0)).alias("v"), F.count(x).over(w.rowsBetween(-(n - 1), 0)).alias("n"))
-        fresh = self._new(F.when(x.isNotNull(), value))
-        return F.last(fresh, ignorenulls=True).over(self.window().rowsBetween(Window.unboundedPreceding, 0))
+    def _halo(self, x: str, n: int) -> str:
+        """Gives every slice the last n values of x before it, as rows of their own, and returns the name of the column that marks these."""
+        back = Window.partitionBy(SLICE).orderBy(*[F.desc(c) for c in self.order])
+        values = self.df.filter(F.col(x).isNotNull()).select(SLICE, *self.order, x)
+        own: dict[int, list[tuple]] = {}
+        for r in values.withColumn("__r", F.row_number().over(back)).filter(F.col("__r") <= n).orderBy(SLICE, *self.order).drop("__r").collect():
+            own.setdefault(r[0], []).append(tuple(r)[1:])
+        rows: list[tuple] = []
+        tail: list[tuple] = []
+        for i in range(self.slices):
+            rows += [(i, *r) for r in tail]
+            tail = (tail + own.get(i, []))[-n:]
+        self.n += 1
+        mark = f"__h{self.n}_{len(self.df.columns)}"
+        before = _at_hand(values, rows).withColumn(mark, F.lit(True))
+        # numbered, so that slices aren't coalesced into large tasks
+        self.df = self.df.unionByName(before, allowMissingColumns=True).repartition(2 * self.slices, SLICE)
+        return mark
+
+    def lasting(self, x: Column, n: int, over: Callable) -> tuple[Column, Column]:
+        """Whether x has a value, and over(x, window of the rows with one) as of its last value; ``over`` looks at n values before a row at most."""
+        name = self._named(x)
+        mark = self._halo(name, n) if self.sliced else None
+        x = F.col(name)
+        fresh = x.isNotNull()
+        value = self._new(F.when(fresh, over(x, self.window(fresh))))
+        held = self._new(F.last(value, ignorenulls=True).over(self.window().rowsBetween(Window.unboundedPreceding, 0)))
+        if mark is not None:
+            self.df = self.df.filter(F.col(mark).isNull()).drop(mark)
+        return fresh, held
+
+    def frame(self, x: Column, n: int, over: dict[str, Callable]) -> Column:
+        """A struct of over(x, window) of the last n values of x by name, and their number ``n``, as of its last value."""
+
+        def values(x, w):
+            w = w.rowsBetween(-(n - 1), 0)
+            return F.struct(*[f(x, w).alias(name) for name, f in over.items()], F.count(x).over(w).alias("n"))
+
+        return self.lasting(x, n, values)[1]
 
     def previous(self, x: Column, n: int) -> Column:
         """The n-th value before the present one; where x is null, counted from the last value on."""
-        if not (self.sliced and self.keys is None):
-            x = self._new(x)
-            fresh = x.isNotNull()
-            of_last = x if n == 1 else F.lag(x, n - 1).over(self.window(fresh))
-            held = self._new(F.when(fresh, F.struct(F.lag(x, n).over(self.window(fresh)).alias("fresh"), of_last.alias("later"))))
-            last = F.last(held, ignorenulls=True).over(self.window().rowsBetween(Window.unboundedPreceding, 0))
-            return self._new(F.when(fresh, held["fresh"]).otherwise(last["later"]))
-        values = self.recent(x, n + 1)
-        held = self.running(values, "last")
-        fresh = values.isNotNull()
-        size = F.size(held)
-        return self._new(F.when(fresh, F.when(size > n, F.get(held, size - 1 - n))).otherwise(F.when(size >= n, F.get(held, size - n))))
-
-
-def slices(df: DataFrame, ts: str, low: int, high: int, rows: int, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` with the slice of each row, and whether there is more than one."""
+        fresh, held = self.lasting(x, n, lambda x, w: F.struct(F.lag(x, n).over(w).alias("fresh"), (x if n == 1 else F.lag(x, n - 1).over(w)).alias("later")))
+        return self._new(F.when(fresh, held["fresh"]).otherwise(held["later"]))
+
+
+def _at_hand(like: DataFrame, rows: list) -> DataFrame:
+    """Rows that the driver has, with the columns of another DataFrame."""
+    return like.sparkSession.createDataFrame(rows, like.schema)
+
+
+def slices(df: DataFrame, ts: str, low: int, high: int, rows: int, slice_rows: int = SLICE_ROWS) -> tuple[DataFrame, int]:
+    """``df`` with the slice of each row, and how many there may be."""
     n = min(MAX_SLICES, max(1, -(-rows // slice_rows)))
     if n == 1:
-        return df.withColumn(SLICE, F.lit(0)), False
+        return df.withColumn(SLICE, F.lit(0)), 1
     width = max(1, -(-(high - low + 1) // n))
-    return df.withColumn(SLICE, F.call_function("div", F.col(ts) - F.lit(low), F.lit(width)).cast("int")), True
+    return df.withColumn(SLICE, F.call_function("div", F.col(ts) - F.lit(low), F.lit(width)).cast("int")), n
