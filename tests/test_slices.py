@@ -5,6 +5,7 @@ import random
 import pytest
 
 from tidewatch.plans.compiler import compile_spec
+from tidewatch.plans.trace import slices
 from tidewatch.streaming import machine
 
 S = 1_000_000_000
@@ -56,3 +57,11 @@ def test_a_plan_holds_the_trace_once(spark):
     plan = compile_spec(HEAD + STATS + "\noutput h @true := a.hold(or: 0) + f.hold(or: 0.0)\noutput n := n[-1].defaults(to: 0) + a\noutput o := a.offset(by: -3).defaults(to: 0)", frame(spark, bursts(1)), slice_rows=9)
     logical = plan.trace.df._jdf.queryExecution().logical()
     assert logical.collectLeaves().size() < 12 and plan.trace.df.count() == 80
+
+
+def test_a_task_of_a_count_window_holds_few_rows(spark):
+    _, n = slices(spark.range(1).withColumnRenamed("id", "__ts"), "__ts", 0, 10**9, 600_000)
+    assert n >= 3
+    plan = compile_spec(HEAD + "output v := f.aggregate(over_discrete: 10, using: var)\noutput d := f.aggregate(over_discrete: 10, using: sd)", frame(spark, bursts(2)), slice_rows=9)
+    assert "array" not in ", ".join(t for _, t in plan.trace.df.dtypes)  # no rows with all their window's values
+    assert plan.trace.df.rdd.getNumPartitions() >= 9  # slices aren't put together

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows of an unkeyed trace that one slice should hold, and the most slices (rows of the carried table).
-SLICE_ROWS, MAX_SLICES = 2_000_000, 4096
+SLICE_ROWS, MAX_SLICES = 250_000, 4096
 SLICE = "__slice"
 
 
