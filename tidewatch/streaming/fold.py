@@ -6,6 +6,7 @@ import pickle
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,8 @@ from .machine import Machine, show
 
 SCHEMA = "ts long, kind int, seq long, stream string, change string, params string, value string"
 COLUMNS = ["ts", "kind", "seq", "stream", "change", "params", "value"]
+#: Events of an unkeyed trace that the folding task sorts at a time, and the rows that it makes Python objects of at a time.
+RANGE_ROWS, BATCH_ROWS = 250_000, 10_000
 
 
 def _plain(v):
@@ -30,25 +33,73 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=COLUMNS)
 
 
+def in_turn(batches):
+    """Record batches of the ranges (``__range``) of a trace, sorted by time and place; one range is held at a time.
+
+    A task that takes all partitions takes them in their order, except that the first one
+    with a preferred host may come before others: the first range waits for its turn.
+    """
+
+    def runs():
+        at, held = None, []
+        for batch in batches:
+            ids = batch.column("__range")
+            for k in pc.unique(ids).to_pylist():
+                if k != at and held:
+                    yield at, held
+                    held = []
+                at = k
+                held.append(batch.filter(pc.equal(ids, k)))
+        if held:
+            yield at, held
+
+    def ordered():
+        first = None
+        for n, run in enumerate(runs()):
+            if n == 0:
+                first = run
+                continue
+            if first is not None and first[0] < run[0]:
+                yield first
+                first = None
+            yield run
+        if first is not None:
+            yield first
+
+    last = -1
+    for k, held in ordered():
+        if k <= last:
+            raise RuntimeError(f"range {k} of the trace came after range {last}")
+        last = k
+        table = pa.Table.from_batches(held).drop_columns(["__range"])
+        held.clear()
+        yield from table.sort_by([("__ts", "ascending"), ("__seq", "ascending")]).to_batches(max_chunksize=BATCH_ROWS)
+
+
 def fold(text: str, events: DataFrame, keys: list[str] | None = None, end: int | None = None) -> DataFrame:
     """All changes of a trace: ts, kind and seq of the cycle, stream, change, params, value (as messages show it).
 
     Without keys the specification relates all events, and one task folds them in order,
-    holding only what the specification looks back to. With keys every key is a trace of
+    holding only what the specification looks back to: the trace is cut into ranges of its
+    order, which go through that task one after another. With keys every key is a trace of
     its own, and keys are dealt over all tasks; all end at ``end`` (else at the last event).
     """
     inputs = [s.name for s in parse(text).inputs]
     keys = keys or []
+    high, n = events.agg(F.max("__ts"), F.count(F.lit(1))).first()
     if end is None:
-        end = events.agg(F.max("__ts")).first()[0] or 0
+        end = high or 0
     rows = events.select("__ts", "__seq", *[F.col(f"`{i}`") for i in inputs], *[F.col(f"`{k}`").alias(f"__key{n}") for n, k in enumerate(keys)])
     names = [f"__key{n}" for n in range(len(keys))]
-    dealt = rows.repartition(*names) if names else rows.coalesce(1)
-    ordered = dealt.sortWithinPartitions(*names, "__ts", "__seq")
+    if names:
+        ordered = rows.repartition(*names).sortWithinPartitions(*names, "__ts", "__seq")
+    else:
+        ranges = rows.repartitionByRange(max(1, -(-n // RANGE_ROWS)), "__ts", "__seq")
+        ordered = ranges.withColumn("__range", F.spark_partition_id()).coalesce(1)
 
     def run(batches):
         machine, at = None, None
-        for batch in batches:
+        for batch in batches if names else in_turn(batches):
             out: list[tuple] = []
             for r in batch.to_pylist():
                 key = tuple(r[n] for n in names)
